@@ -77,7 +77,10 @@ def classify(
     else:
         matches = match_column(text, patterns, extra)
     kept = [c for c in df.columns if c not in drop]
-    scanned = df.select(*kept, matches.alias("matches"))
+    # The generator is a fence: a filter on the matches above it stays there instead of being pushed
+    # down as a second copy of the whole detection, while filters on the other columns still reach
+    # the scan.
+    scanned = df.select(*kept, F.explode(F.array(matches)).alias("matches"))
     return scanned.withColumn("label_recommendation", recommend_label(F.col("matches")))
 
 

@@ -67,31 +67,28 @@ PLANTED = {
 }
 
 OPEN, MID, CLOSE = "chr(1)", "chr(2)", "chr(3)"
+_LCG = 2147483648
 
 
 def pick(seed: str, salt: int, n: int) -> str:
-    """A number in [0, n) drawn from the seed: two rounds of a 31-bit congruential generator."""
-    first = f"((({seed}) % 2147483648 + {salt * 7919 + 17}) * 1103515245 + 12345) % 2147483648"
-    second = f"(({first}) * 69069 + {salt + 1}) % 2147483648"
-    third = f"(({second}) * 1103515245 + 12345) % 2147483648"
-    return f"(CAST((({third}) - ({third}) % 64) / 64 AS BIGINT) % {n})"
-
-
-def digits(seed: str, salt: int, width: int) -> str:
-    """A number without leading zero, ``width`` digits long."""
-    low = 10 ** (width - 1)
-    return f"CAST({low} + {pick(seed, salt, 9 * low if width <= 7 else 9_000_000)} AS STRING)" if width <= 7 else (
-        f"({digits(seed, salt, 7)} || {_padded(pick(seed, salt + 50, 10 ** (width - 7)), width - 7)})"
-    )
+    """A number in [0, n) drawn from the seed: three rounds of 31-bit congruential mixing."""
+    first = f"((({seed}) % {_LCG} + {salt * 7919 + 17}) * 1103515245 + 12345) % {_LCG}"
+    second = f"(({first}) * 69069 + {salt + 1}) % {_LCG}"
+    third = f"(({second}) * 1103515245 + 12345) % {_LCG}"
+    return f"(CAST(floor(({third}) / 64) AS BIGINT) % {n})"
 
 
 def _padded(number: str, width: int) -> str:
     return f"lpad(CAST({number} AS STRING), {width}, '0')"
 
 
-def _choice(seed: str, salt: int, options: list[str]) -> str:
+def _number(number: str) -> str:
+    return f"CAST({number} AS STRING)"
+
+
+def _choice(number: str, options: list[str]) -> str:
     whens = " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(options[:-1]))
-    return f"CASE {pick(seed, salt, len(options))} {whens} ELSE '{options[-1]}' END"
+    return f"CASE {number} {whens} ELSE '{options[-1]}' END"
 
 
 def luhn_card(prefix: str) -> str:
@@ -103,55 +100,64 @@ def luhn_card(prefix: str) -> str:
     return f"({prefix} || CAST((10 - ({' + '.join(terms)}) % 10) % 10 AS STRING))"
 
 
-def _fields(seed: str) -> dict[str, str]:
-    def ssn(salt: int) -> str:
-        area = pick(seed, salt, 898)
-        area = f"CASE WHEN {area} < 665 THEN {area} + 1 ELSE {area} + 2 END"
-        return (
-            f"({_padded(area, 3)} || '-' || {_padded(f'1 + {pick(seed, salt + 1, 99)}', 2)}"
-            f" || '-' || {_padded(f'1 + {pick(seed, salt + 2, 9999)}', 4)})"
-        )
+def _draws() -> dict[str, str]:
+    """Column name -> drawn number. Each is computed once per document, below the texts."""
+    ranges = {"kind": 100, "template": 3, "card_a": 10_000_000, "card_b": 10_000_000}
+    for s in ("ssn", "ssn2"):
+        ranges |= {f"{s}_a": 898, f"{s}_g": 99, f"{s}_s": 9999}
+    for p in ("phone", "phone2"):
+        ranges |= {f"{p}_a": 800, f"{p}_e": 800, f"{p}_s": 9000, f"{p}_f": 3}
+    for n in ("name", "name2"):
+        ranges |= {f"{n}_f": len(FIRST_NAMES), f"{n}_l": len(LAST_NAMES)}
+    ranges |= {"mail_n": len(FIRST_NAMES), "mail_i": 9999, "mail_d": len(DOMAINS)}
+    ranges |= {"mrn": 9_000_000, "mrn_x": 10, "plan_p": len(PLAN_PREFIXES), "plan_a": 9_000_000, "plan_b": 1000}
+    ranges |= {"home_n": 999, "home_s": len(STREETS), "home_c": len(CITIES), "mm": 12, "dd": 28, "yy": 60}
+    ranges |= {f"n{w}": 9 * 10 ** (w - 1) for w in (1, 2, 3, 4, 5)} | {"n9_a": 9_000_000, "n9_b": 100}
+    return {f"d_{name}": pick("seed", 3 * i + 1, n) for i, (name, n) in enumerate(ranges.items())}
+
 
-    def phone(salt: int) -> str:
-        a = f"CAST(200 + {pick(seed, salt, 800)} AS STRING)"
-        b = f"CAST(200 + {pick(seed, salt + 1, 800)} AS STRING)"
-        c = f"CAST(1000 + {pick(seed, salt + 2, 9000)} AS STRING)"
+def _fields() -> dict[str, str]:
+    """Template field -> text over the drawn columns."""
+
+    def ssn(s: str) -> str:
+        area = f"d_{s}_a + CASE WHEN d_{s}_a < 665 THEN 1 ELSE 2 END"
+        return f"{_padded(area, 3)} || '-' || {_padded(f'1 + d_{s}_g', 2)} || '-' || {_padded(f'1 + d_{s}_s', 4)}"
+
+    def phone(p: str) -> str:
+        a, e, n = _number(f"200 + d_{p}_a"), _number(f"200 + d_{p}_e"), _number(f"1000 + d_{p}_s")
         return (
-            f"CASE {pick(seed, salt + 3, 3)} WHEN 0 THEN {a} || '-' || {b} || '-' || {c}"
-            f" WHEN 1 THEN '(' || {a} || ') ' || {b} || '-' || {c} ELSE {a} || '.' || {b} || '.' || {c} END"
+            f"CASE d_{p}_f WHEN 1 THEN '(' ELSE '' END || {a} || CASE d_{p}_f WHEN 0 THEN '-' WHEN 1 THEN ') ' ELSE '.' END"
+            f" || {e} || CASE d_{p}_f WHEN 2 THEN '.' ELSE '-' END || {n}"
         )
 
-    def name(salt: int) -> str:
-        return f"{_choice(seed, salt, FIRST_NAMES)} || ' ' || {_choice(seed, salt + 1, LAST_NAMES)}"
+    def name(n: str) -> str:
+        return f"{_choice(f'd_{n}_f', FIRST_NAMES)} || ' ' || {_choice(f'd_{n}_l', LAST_NAMES)}"
 
-    date = (
-        f"{_padded(f'1 + {pick(seed, 60, 12)}', 2)} || '/' || {_padded(f'1 + {pick(seed, 61, 28)}', 2)}"
-        f" || '/' || CAST(1950 + {pick(seed, 62, 60)} AS STRING)"
-    )
     return {
-        "ssn": ssn(1),
-        "ssn2": ssn(5),
-        "card": "card_number",
-        "phone": phone(10),
-        "phone2": phone(15),
-        "email": f"lower({_choice(seed, 20, FIRST_NAMES)}) || CAST({pick(seed, 21, 9999)} AS STRING) || '@' || {_choice(seed, 22, DOMAINS)}",
-        "mrn": f"'MRN' || {digits(seed, 25, 8)}",
-        "plan": f"{_choice(seed, 30, PLAN_PREFIXES)} || {digits(seed, 31, 10)}",
-        "name": name(35),
-        "name2": name(38),
-        "address": f"CAST(1 + {pick(seed, 40, 999)} AS STRING) || ' ' || {_choice(seed, 41, STREETS)} || ', ' || {_choice(seed, 42, CITIES)}",
-        "date": date,
-        **{f"n{w}": digits(seed, 70 + w, w) for w in (1, 2, 3, 4, 5, 9)},
+        "ssn": ssn("ssn"),
+        "ssn2": ssn("ssn2"),
+        "card": luhn_card("card_prefix"),
+        "phone": phone("phone"),
+        "phone2": phone("phone2"),
+        "email": f"{_choice('d_mail_n', [n.lower() for n in FIRST_NAMES])} || {_number('d_mail_i')} || '@' || {_choice('d_mail_d', DOMAINS)}",
+        "mrn": f"'MRN' || {_number('1000000 + d_mrn')} || {_number('d_mrn_x')}",
+        "plan": f"{_choice('d_plan_p', PLAN_PREFIXES)} || {_number('1000000 + d_plan_a')} || {_padded('d_plan_b', 3)}",
+        "name": name("name"),
+        "name2": name("name2"),
+        "address": f"{_number('1 + d_home_n')} || ' ' || {_choice('d_home_s', STREETS)} || ', ' || {_choice('d_home_c', CITIES)}",
+        "date": f"{_padded('1 + d_mm', 2)} || '/' || {_padded('1 + d_dd', 2)} || '/' || {_number('1950 + d_yy')}",
+        **{f"n{w}": _number(f"{10 ** (w - 1)} + d_n{w}") for w in (1, 2, 3, 4, 5)},
+        "n9": f"{_number('1000000 + d_n9_a')} || {_padded('d_n9_b', 2)}",
     }
 
 
-def _template_sql(template: str, fields: dict[str, str]) -> str:
+def _template_sql(template: str) -> str:
     """Template -> SQL text in which planted values carry their type between control characters."""
     parts = []
     for piece in re.split(r"(\{\w+\})", template):
         if piece.startswith("{"):
             field = piece[1:-1]
-            value = f"({fields[field]})"
+            value = f"f_{field}"
             if field in PLANTED:
                 value = f"{OPEN} || '{PLANTED[field]}' || {MID} || {value} || {CLOSE}"
             parts.append(value)
@@ -165,27 +171,29 @@ def _template_sql(template: str, fields: dict[str, str]) -> str:
 
 
 def corpus_sql(relation: str, seed: str) -> str:
-    """SELECT of (doc_id, category, path, marked) over a relation, in shared SQL."""
+    """SELECT of (doc_id, category, path, marked) over a relation, in shared SQL.
+
+    Three layers: drawn numbers, field texts, documents. Each field is one column used by several
+    templates, so it is built once per row and the generated code stays small.
+    """
     bounds, upper = [], 0
     for category, share in SHARES:
         upper += share
-        bounds.append(f"WHEN {pick('seed', 90, 100)} < {upper} THEN '{category}'")
-    fields = _fields("seed")
+        bounds.append(f"WHEN d_kind < {upper} THEN '{category}'")
+    draws = ", ".join(f"{sql} AS {name}" for name, sql in _draws().items())
+    numbers = f"SELECT seed, {draws} FROM (SELECT CAST({seed} AS BIGINT) AS seed FROM {relation}) s"
+    carded = f"SELECT *, '4' || {_padded('d_card_a', 7)} || {_padded('d_card_b', 7)} AS card_prefix FROM ({numbers}) d"
+    fields = ", ".join(f"{sql} AS f_{name}" for name, sql in _fields().items())
+    texts = f"SELECT seed, CASE {' '.join(bounds)} END AS category, d_template AS template, {fields} FROM ({carded}) c"
     bodies = []
     for category, templates in TEMPLATES.items():
-        inner = " ".join(f"WHEN {i} THEN {_template_sql(t, fields)}" for i, t in enumerate(templates))
+        inner = " ".join(f"WHEN {i} THEN {_template_sql(t)}" for i, t in enumerate(templates))
         bodies.append(f"WHEN '{category}' THEN (CASE template {inner} END)")
     prefixes = " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in FILE_PREFIX.items())
-    seeds = f"SELECT CAST({seed} AS BIGINT) AS seed FROM {relation}"
-    drawn = (
-        f"SELECT seed, CASE {' '.join(bounds)} END AS category, {pick('seed', 91, 3)} AS template,"
-        f" '4' || {digits('seed', 92, 7)} || {digits('seed', 93, 7)} AS card_prefix FROM ({seeds}) s"
-    )
-    carded = f"SELECT seed, category, template, {luhn_card('card_prefix')} AS card_number FROM ({drawn}) d"
     return (
         f"SELECT seed AS doc_id, category,"
         f" category || '/' || (CASE category {prefixes} END) || '_' || CAST(seed AS STRING) || '.txt' AS path,"
-        f" CASE category {' '.join(bodies)} END AS marked FROM ({carded}) c"
+        f" CASE category {' '.join(bodies)} END AS marked FROM ({texts}) t"
     )
 
 
