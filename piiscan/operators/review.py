@@ -52,10 +52,12 @@ def apply_verdicts(queue: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def hard_negatives(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
+def hard_negatives(
+    findings: DataFrame, verdicts: DataFrame, min_confidence: float = HARD_NEGATIVE_CONFIDENCE
+) -> DataFrame:
     """Findings rejected by a reviewer although the detector was sure."""
     wrong = verdicts.filter(F.col("verdict") == "FP").select("id")
-    return findings.filter(F.col("confidence") > HARD_NEGATIVE_CONFIDENCE).join(wrong, "id", "left_semi")
+    return findings.filter(F.col("confidence") > min_confidence).join(wrong, "id", "left_semi")
 
 
 def balanced_sample(findings: DataFrame, quotas: dict[str, int]) -> DataFrame:

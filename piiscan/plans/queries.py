@@ -539,9 +539,9 @@ def entity_real_test(spark, sf):
  (SELECT string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) FROM (SELECT entity_type, count(*) AS n FROM findings WHERE NOT is_test_data GROUP BY 1)) AS by_entity_type FROM findings""",
 )
 def store_statistics(spark, sf):
-    files, matches = stored_tables(spark, sf)
-    scans = files.select("scan_id").distinct()
-    stats = ro.store_statistics(scans, files, matches)
+    _, matches = stored_tables(spark, sf)
+    documents = dv.customer_documents(spark, sf)
+    stats = ro.store_statistics(documents.select("scan_id").distinct(), documents, matches)
     pairs = F.transform(F.map_entries("by_entity_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return stats.withColumn("by_entity_type", F.array_join(pairs, ","))
 
@@ -683,9 +683,9 @@ def apply_verdicts(spark, sf):
     return rev.apply_verdicts(queue, verdicts(spark, sf)).drop("timestamp")
 
 
-@register("hard_negatives", CUST + f" SELECT id, entity_type, value FROM {_V} WHERE verdict = 'FP' AND confidence > 0.9")
+@register("hard_negatives", CUST + f" SELECT id, entity_type, value FROM {_V} WHERE verdict = 'FP' AND confidence > 0.8")
 def hard_negatives(spark, sf):
-    return rev.hard_negatives(customer_findings(spark, sf), verdicts(spark, sf)).select("id", "entity_type", "value")
+    return rev.hard_negatives(customer_findings(spark, sf), verdicts(spark, sf), 0.8).select("id", "entity_type", "value")
 
 
 @register(
@@ -726,10 +726,10 @@ def report_chart(spark, sf):
 
 @register(
     "export_json",
-    CUST + f""", m AS (SELECT doc_id, list({{'entity_type': entity_type, 'value': {o.REDACT}, 'confidence': confidence, 'confidence_level': {o.BAND},
+    CUST + f""", m AS (SELECT doc_id AS key, list({{'entity_type': entity_type, 'value': {o.REDACT}, 'confidence': confidence, 'confidence_level': {o.BAND},
  'detector': detector, 'is_test_data': is_test_data, 'model_version': CAST(NULL AS STRING)}} ORDER BY start_pos) AS matches FROM findings GROUP BY doc_id)
  SELECT path, CAST(to_json({{'path': path, 'size_bytes': doc_id, 'modified': NULL, 'has_sensitive_data': sensitive, 'label_recommendation': label_recommendation,
- 'error': NULL, 'matches': coalesce(matches, [])}}) AS STRING) AS json FROM files f LEFT JOIN m ON m.doc_id = f.doc_id""",
+ 'error': NULL, 'matches': coalesce(matches, [])}}) AS STRING) AS json FROM files f LEFT JOIN m ON m.key = f.doc_id""",
 )
 def export_json(spark, sf):
     files = customer_files(spark, sf).withColumn("size_bytes", F.col("doc_id")).withColumn("modified", F.lit(None).cast("timestamp"))
@@ -1021,12 +1021,12 @@ def synthetic_false_positives(spark, sf):
     return tr.synthetic_false_positives(dv.table(spark, sf, "customer").select("c_custkey"), "c_custkey")
 
 
-def _training_set(spark, sf):
+def _training_set(spark, sf, shuffle=True):
     examples = tr.examples_from_corpus(annotated_corpus(spark, sf), ["ssn", "phone", "email"])
     negatives = tr.synthetic_false_positives(dv.table(spark, sf, "customer").select("c_custkey"), "c_custkey")
     queue = rev.review_queue(customer_findings(spark, sf))
     reviewed = rev.apply_verdicts(queue, verdicts(spark, sf))
-    return tr.prepare_dataset(examples, negatives, reviewed)
+    return tr.prepare_dataset(examples, negatives, reviewed, shuffle)
 
 
 _TRAINING = CUST + f""", train AS (SELECT text, label, entity_type, source FROM ({_EXAMPLES} WHERE entity_type IN ('ssn', 'phone', 'email'))
@@ -1044,7 +1044,7 @@ def training_balance(spark, sf):
 @register("tpfp_filter")
 def tpfp_filter(spark, sf):
     """Train on the training set, then flag and relabel the findings of the customer documents."""
-    model, _ = tr.train_classifier(_training_set(spark, sf).drop("source", "entity_type"), max_iter=10, num_features=1 << 12)
+    model, _ = tr.train_classifier(_training_set(spark, sf, shuffle=False), max_iter=10, num_features=1 << 12)
     files = tr.apply_classifier(customer_files(spark, sf), model, threshold=0.5)
     return ro.entity_breakdown(explode_findings(files))
 
