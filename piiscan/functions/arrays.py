@@ -37,7 +37,7 @@ def running_sum(numbers: Column) -> Column:
         reach = F.pow(F.lit(2), r - 1).cast("int")
         return F.transform(sums, lambda x, i: F.when(i >= reach, x + F.get(sums, i - reach)).otherwise(x))
 
-    return F.aggregate(_rounds(F.size(numbers)), numbers, widen)
+    return let(numbers, lambda bound: F.aggregate(_rounds(F.size(bound)), bound, widen))
 
 
 def lower_bound(sorted_numbers: Column, target: Column) -> Column:
@@ -63,20 +63,24 @@ def chain_from_first(successor: Column) -> Column:
 
     Each round doubles both the visited prefix and the length of a jump.
     """
-    n = F.size(successor)
 
     def double(s: Column, _: Column) -> Column:
-        ahead = F.filter(F.transform(s["chain"], lambda j: F.get(s["jump"], j)), lambda j: j < n)
+        ahead = F.filter(
+            F.transform(s["chain"], lambda j: F.get(s["jump"], j)), lambda j: j < F.size(s["jump"])
+        )
         return F.struct(
             F.concat(s["chain"], ahead).alias("chain"),
-            F.transform(s["jump"], lambda j: F.coalesce(F.get(s["jump"], j), n)).alias("jump"),
+            F.transform(s["jump"], lambda j: F.coalesce(F.get(s["jump"], j), j)).alias("jump"),
         )
 
-    return F.aggregate(
-        _rounds(n),
-        F.struct(F.array(F.lit(0)).alias("chain"), successor.alias("jump")),
-        double,
-        lambda s: s["chain"],
+    return let(
+        successor,
+        lambda bound: F.aggregate(
+            _rounds(F.size(bound)),
+            F.struct(F.array(F.lit(0)).alias("chain"), bound.alias("jump")),
+            double,
+            lambda s: s["chain"],
+        ),
     )
 
 
@@ -96,3 +100,11 @@ def block_slice(blocks: Column, begin: Column, length: Column) -> Column:
         F.coalesce(F.get(blocks, index + 1), F.lit("")),
     )
     return F.substring(pair, begin - index * _BLOCK + 1, length)
+
+
+def block_range(blocks: Column, begin: Column, length: Column) -> Column:
+    """Like ``block_slice`` for any length: only the blocks the range touches are joined."""
+    first = F.floor(begin / F.lit(_BLOCK)).cast("int")
+    last = F.floor((begin + length) / F.lit(_BLOCK)).cast("int")
+    joined = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(length <= 0, "").otherwise(F.substring(joined, begin - first * _BLOCK + 1, length))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import chain_from_first, let, lower_bound
+from ..functions.arrays import block_range, chain_from_first, let, lower_bound, text_blocks
 from ..functions.scalar import token
 
 
@@ -42,18 +42,23 @@ def resolve_spans(spans: Column) -> Column:
 def mask_text(text: Column, matches: Column, include_test_data: bool = True) -> Column:
     """The text with every (non-overlapping, ordered) match replaced by its token.
 
-    Pieces between matches are cut at precomputed offsets and joined once. The offsets come from the
-    previous match, so no copy of the text is rewritten per match.
+    The stretches between matches are cut from a blocked copy of the text and joined once, so the
+    work is linear in the text however many matches it has.
     """
     chosen = matches if include_test_data else F.filter(matches, lambda m: ~m["is_test_data"])
 
-    def pieces(kept: Column) -> Column:
+    def pieces(kept: Column, blocks: Column) -> Column:
         def piece(m: Column, i: Column) -> Column:
             begin = F.when(i == 0, F.lit(0)).otherwise(F.get(kept, i - 1)["end"])
-            return F.concat(F.substring(text, begin + 1, m["start"] - begin), token(m["entity_type"]))
+            return F.concat(block_range(blocks, begin, m["start"] - begin), token(m["entity_type"]))
 
         tail_from = F.get(kept, F.size(kept) - 1)["end"]
-        tail = F.substring(text, tail_from + 1, F.length(text) - tail_from)
+        tail = block_range(blocks, tail_from, F.length(text) - tail_from)
         return F.concat(F.array_join(F.transform(kept, piece), ""), tail)
 
-    return let(chosen, lambda kept: F.when(F.size(kept) == 0, text).otherwise(pieces(kept)))
+    return let(
+        chosen,
+        lambda kept: F.when(F.size(kept) == 0, text).otherwise(
+            let(text_blocks(text), lambda blocks: pieces(kept, blocks))
+        ),
+    )

@@ -131,6 +131,7 @@ def read_documents(
     Exclusion, type and size tests use file metadata, which prunes files from the listing before any
     content is read. A root that is a single file is scanned whatever its name; a missing root gives
     one error row. Files with a parsed format need their parts as tables and are reported as such.
+    Spark's file index leaves out empty files and names starting with ``.`` or ``_``.
     """
     uri, kind = _root_uri(spark, root)
     if kind == "missing":

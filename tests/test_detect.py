@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from piiscan.operators.annotations import classify_with_annotations
 from piiscan.operators.classify import classify
 from piiscan.operators.detect import detect, explode_findings
 from piiscan.operators.patterns import DEFAULT_PATTERNS, PatternSpec
@@ -117,8 +118,9 @@ def test_match_heavy_document_is_linear(spark):
     n = 60_000
     text = "\n".join(f"u{i}@mail.com" for i in range(n))
     df = spark.createDataFrame([(text,)], "text string")
-    row = classify(df).select(F.size("matches").alias("n"), F.element_at("matches", -1).alias("last")).first()
-    assert row.n == n
+    files = classify(df, keep_text=True).withColumn("masked", mask_text(F.col("text"), F.col("matches")))
+    row = files.select(F.size("matches").alias("n"), F.element_at("matches", -1).alias("last"), "masked").first()
+    assert row.n == n and row.masked == "\n".join(["[EMAIL]"] * n)
     assert text[row.last.start : row.last.end] == f"u{n - 1}@mail.com" == row.last.value
     assert row.last.context == text[row.last.start - 50 :]
 
@@ -172,3 +174,27 @@ def test_classify_is_one_narrow_stage(spark):
     assert "Exchange" not in plan and "Python" not in plan
     assert plan.count("regexp_extract_all(text") == 7  # six rules and the context blocks
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_masking_and_resolution_of_a_long_text(spark):
+    """One wide annotation over many matches, texts of several blocks, against a plain Python walk."""
+    rng = random.Random(3)
+    text = "".join(f"é{'x' * rng.randint(0, 900)} a{i}@mail.com 212-555-{1000 + i} " for i in range(60))
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    notes = [(1, "PERSON", 500, 9000, 0.99), (1, "LOCATION", 9000, 9005, 0.6), (1, "PERSON", 8990, 9100, 0.9)]
+    annotations = spark.createDataFrame(notes, "doc_id int, entity_type string, start int, end int, score double")
+    row = (
+        classify_with_annotations(df, annotations, keep_text=True)
+        .withColumn("masked", mask_text(F.col("text"), F.col("matches")))
+        .first()
+    )
+    spans = [(s, e, {"email": 0.9, "phone": 0.65}[t], i, t) for i, (t, _, s, e, _) in enumerate(python_spans(text))]
+    spans += [(500, 9000, 0.99, 998, "name"), (9000, 9005, 0.6, 999, "address"), (8990, 9100, 0.9, 997, "name")]
+    want, last, masked = [], -1, ""
+    for s, e, c, _, t in sorted(spans, key=lambda x: (x[0], -x[2], x[3])):
+        if s >= last:
+            masked += text[max(last, 0) : s] + f"[{t.upper()}]"
+            want.append((s, e))
+            last = e
+    assert [(m.start, m.end) for m in row.matches] == want
+    assert row.masked == masked + text[last:]
