@@ -54,8 +54,12 @@ def test_store_and_query(spark, store, tmp_path):
 
 def test_filters_reach_the_scan(spark, store):
     store.store_scan(scan_documents(docs(spark)), "/d", scan_id="s1")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
     plan = store.get_findings("s1", "ssn", 0.5)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(scan_id" in plan and "EqualTo(entity_type,ssn)" in plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [line for line in plan.splitlines() if "FileScan" in line]
+    assert all("= s1)" in line.split("PartitionFilters")[1] for line in pushed)
+    assert any("EqualTo(entity_type,ssn)" in line and "GreaterThanOrEqual(confidence,0.5)" in line for line in pushed)
 
 
 def test_load_scan_is_the_inverse(spark, store):
