@@ -100,11 +100,13 @@ def plan_labels(
     resolved = resolved.join(small_side(names), "label_id", "left")
     if current_labels is not None:
         now = current_labels.select(
-            "item_id",
+            F.col("item_id").alias("_item"),
             F.col("label_id").alias("previous_label"),
             F.col("label_name").alias("previous_label_name"),
         )
-        resolved = resolved.join(now, "item_id", "left")
+        # files outside the cloud have no id: their paths spread them instead of one null partition
+        key = F.coalesce("item_id", F.concat(F.lit("path:"), "path"))
+        resolved = resolved.withColumn("_key", key).join(now, F.col("_key") == F.col("_item"), "left")
     else:
         none = F.lit(None).cast("string")
         resolved = resolved.select("*", none.alias("previous_label"), none.alias("previous_label_name"))

@@ -21,6 +21,8 @@ def build_session(app_name: str = "piiscan", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # 256-bit keys in base64 do not show up in explained plans
+        "spark.sql.redaction.string.regex": "[A-Za-z0-9+/]{43}=",
         **conf,
     }
     for key, value in settings.items():
@@ -33,13 +35,24 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Frames built from local rows have no size estimate; up to this many rows they count as small.
+BROADCAST_LIMIT_ROWS = 10_000
+_UNKNOWN_SIZE = 1 << 62
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the planner's own estimate is under ``limit``.
+    """Hint a broadcast only for a side whose size has been checked.
 
-    Beyond the limit the frame is returned as is, and the join falls back to a shuffle join that
-    AQE may still convert or split when it sees the real sizes.
+    The planner's estimate decides; where it has none, rows are counted up to a bound. Lookups by a
+    handful of keys (label names, say) would otherwise shuffle every file into a handful of tasks.
+    Beyond the limits the frame is returned as is, and the join falls back to a shuffle join that AQE
+    may still convert, or split where it is skewed.
     """
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    size = plan_bytes(df)
+    small = size <= limit
+    if size >= _UNKNOWN_SIZE:
+        small = df.limit(BROADCAST_LIMIT_ROWS + 1).count() <= BROADCAST_LIMIT_ROWS
+    return F.broadcast(df) if small else df
 
 
 def spread_small(df: DataFrame) -> DataFrame:
