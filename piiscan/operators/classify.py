@@ -55,9 +55,9 @@ def match_column(
 
 
 @lru_cache(maxsize=32)
-def _default_match_column(text_col: str) -> Column:
-    """The default rules over a named column: building the expression costs a second, so keep it."""
-    return match_column(F.col(text_col))
+def _default_match_column(text_col: str, annotation_col: str | None) -> Column:
+    """The default rules over named columns: building the expression costs a second, so keep it."""
+    return match_column(F.col(text_col), None, F.col(annotation_col) if annotation_col else None)
 
 
 def classify(
@@ -69,13 +69,11 @@ def classify(
 ) -> DataFrame:
     """Add ``matches`` and ``label_recommendation``. The text itself is dropped unless asked for,
     so nothing downstream shuffles document bodies."""
-    text = F.col(text_col)
-    extra = F.col(annotation_col) if annotation_col else None
     drop = {annotation_col} | (set() if keep_text else {text_col})
-    if patterns is None and extra is None:
-        matches = _default_match_column(text_col)
+    if patterns is None:
+        matches = _default_match_column(text_col, annotation_col)
     else:
-        matches = match_column(text, patterns, extra)
+        matches = match_column(F.col(text_col), patterns, F.col(annotation_col) if annotation_col else None)
     kept = [c for c in df.columns if c not in drop]
     # The generator is a fence: a filter on the matches above it stays there instead of being pushed
     # down as a second copy of the whole detection, while filters on the other columns still reach

@@ -48,16 +48,37 @@ def file_confusion(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def span_overlaps(found: DataFrame, planted: DataFrame, doc_key: str = "doc_id") -> DataFrame:
-    """Both span sets, each row telling whether a span of the other set of its type overlaps it.
+    """Both span sets as rows, each telling whether a span of the other set of its type overlaps it.
 
-    Both frames have (doc_key, entity_type, start_pos, end_pos), spans of one set being disjoint. In
-    one sweep per document the nearest other span before (by end) and after (by start) decides, so no
-    pairs are formed.
+    Both frames have (doc_key, entity_type, start_pos, end_pos), spans of one set being disjoint.
     """
     cols = [doc_key, "entity_type", "start_pos", "end_pos"]
     both = found.select(*cols, F.lit("found").alias("side")).unionByName(
         planted.select(*cols, F.lit("planted").alias("side"))
     )
+    return sweep_overlaps(both, doc_key)
+
+
+def document_overlaps(scored: DataFrame, doc_key: str = "doc_id") -> DataFrame:
+    """The same for documents that carry ``matches`` (real ones count) and ``planted`` spans: one pass."""
+
+    def tagged(column: str, side: str) -> Column:
+        return F.transform(
+            column,
+            lambda s: F.struct(
+                s["entity_type"].alias("entity_type"), s["start"].alias("start_pos"), s["end"].alias("end_pos"),
+                F.lit(side).alias("side"),
+            ),
+        )
+
+    real = scored.withColumn("_real", F.filter("matches", lambda m: ~m["is_test_data"]))
+    spans = F.concat(tagged("_real", "found"), tagged("planted", "planted"))
+    return sweep_overlaps(real.select(doc_key, F.inline(spans)), doc_key)
+
+
+def sweep_overlaps(both: DataFrame, doc_key: str) -> DataFrame:
+    """In one sweep per document and type, the nearest span of the other side before (by end) and after
+    (by start) decides, so no pairs are formed."""
     w = Window.partitionBy(doc_key, "entity_type")
     # looking ahead is a second running frame in reverse order: frames open at the end are quadratic
     before = w.orderBy("start_pos", "side").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import file_type, is_guid, label_key
 from ..schema import LABEL_MAPPING, LABEL_RECOMMENDATIONS
-from ..session import small_side
+from ..session import local_rows, small_side
 from .classify import has_sensitive_data
 
+_MAPPING_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LABEL_MAPPING)
+
 # File types the local labelling client can write to.
 LOCAL_LABEL_TYPES = [".docx", ".xlsx", ".pptx", ".pdf", ".doc", ".xls", ".ppt"]
 
@@ -17,11 +19,11 @@ LOCAL_LABEL_TYPES = [".docx", ".xlsx", ".pptx", ".pdf", ".doc", ".xls", ".ppt"]
 def default_mapping(spark: SparkSession) -> DataFrame:
     """No label ids yet; ``public`` is skipped unless configured otherwise."""
     rows = [(r, None, None, r == "public") for r in LABEL_RECOMMENDATIONS]
-    return spark.createDataFrame(rows, LABEL_MAPPING)
+    return local_rows(spark, rows, _MAPPING_DDL)
 
 
 def mapping_from_dict(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame([(k.lower(), v, None, False) for k, v in mapping.items()], LABEL_MAPPING)
+    return local_rows(spark, [(k.lower(), v, None, False) for k, v in mapping.items()], _MAPPING_DDL)
 
 
 def auto_map(spark: SparkSession, tenant_labels: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def auto_map(spark: SparkSession, tenant_labels: DataFrame) -> DataFrame:
 
     When several tenant labels fit, the greatest id wins so that the result does not depend on order.
     """
-    recommendations = spark.createDataFrame([(r,) for r in LABEL_RECOMMENDATIONS], "recommendation string")
+    recommendations = local_rows(spark, [(r,) for r in LABEL_RECOMMENDATIONS], "recommendation string")
     return (
         tenant_labels.select("id", "name", label_key(F.col("name")).alias("key"))
         .join(F.broadcast(recommendations.withColumn("key", label_key(F.col("recommendation")))), "key")

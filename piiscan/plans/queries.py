@@ -17,11 +17,11 @@ from ..operators import report as rep
 from ..operators import review as rev
 from ..operators import rollup as ro
 from ..operators import training as tr
-from ..operators.classify import classify, has_sensitive_data, real_matches, scan_documents
+from ..operators.classify import classify, has_sensitive_data, real_matches
 from ..operators.detect import SPAN_DDL, detect, explode_findings
 from ..operators.patterns import DEFAULT_PATTERNS, PatternSpec
 from ..operators.spans import mask_text, resolve_spans
-from ..session import ensure_checkpoint_dir, spread_small
+from ..session import ensure_checkpoint_dir, local_rows
 from ..sources import assemble as asm
 from ..sources import drive
 from ..sources.columns import profile_columns
@@ -745,7 +745,7 @@ _TENANT_SQL = "(VALUES " + ", ".join(f"('{i}', '{n}')" for i, n in _TENANT) + ")
 
 
 def tenant(spark):
-    return spark.createDataFrame(_TENANT, "id string, name string")
+    return local_rows(spark, _TENANT, "id string, name string")
 
 
 _MAPPED_CASE = "CASE label_recommendation WHEN 'highly_confidential' THEN 'guid-1' WHEN 'confidential' THEN 'guid-2' WHEN 'public' THEN 'guid-4' END"
@@ -1122,9 +1122,8 @@ _OVERLAP = f""", truth AS (SELECT * FROM ({o.PLANTED})), planted_hits AS (SELECT
 
 @register("benchmark_entity_prf", CORP + _OVERLAP + f" SELECT entity_type, true_positives, false_positives, false_negatives, {_PRF} FROM econf")
 def benchmark_entity_prf(spark, sf):
-    made = dv.corpus(spark, sf)
-    found = fi.flatten_findings(classify(made.select("doc_id", "text"))).filter(~F.col("is_test_data"))
-    return _rounded(ev.with_metrics(ev.entity_confusion(ev.span_overlaps(found, _planted(made)))))
+    scored = classify(dv.corpus(spark, sf))
+    return _rounded(ev.with_metrics(ev.entity_confusion(ev.document_overlaps(scored))))
 
 
 _RUNS = f""", runs AS (SELECT 'all' AS run, count(*) FILTER (c = 'sensitive' AND s) AS tp, count(*) FILTER (c = 'clean' AND s) AS fp, count(*) FILTER (c = 'sensitive' AND NOT s) AS fn FROM (SELECT {_CATEGORY} AS c, sensitive AS s FROM files)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,16 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few literal rows as part of the plan: exact size, no job, no Python worker."""
+    names = [part.split()[0] for part in ddl.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.sql(
+        f"SELECT inline(from_json(:rows, 'array<struct<{', '.join(':'.join(p.split()) for p in ddl.split(','))}>>'))",
+        args={"rows": text},
+    )
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Use every core on inputs that are too small to be split by file layout.
 

@@ -230,12 +230,13 @@ def generate_corpus(seeds: DataFrame, seed_col: str) -> DataFrame:
         )
         return F.filter(spans, lambda s: s["entity_type"].isNotNull())
 
+    # behind a generator, so that exploding the spans does not repeat their computation in a filter
     return marked.select(
         "doc_id",
         "category",
         "path",
         F.regexp_replace("marked", "\\x01[a-z_]+\\x02|\\x03", "").alias("text"),
-        let(rows, located).alias("planted"),
+        F.explode(F.array(let(rows, located))).alias("planted"),
     )
 
 
