@@ -78,7 +78,7 @@ def scan_trend(scans: DataFrame) -> DataFrame:
 
 
 def export_files_json(files: DataFrame) -> DataFrame:
-    """One JSON document per file (values redacted). The scan header is a separate one-row export."""
+    """One JSON document per file (values redacted). ``export_header_json`` gives the scan's own row."""
     match = F.transform(
         "matches",
         lambda m: F.struct(
@@ -101,3 +101,10 @@ def export_files_json(files: DataFrame) -> DataFrame:
         match.alias("matches"),
     )
     return files.select("path", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def export_header_json(scans: DataFrame) -> DataFrame:
+    """Scan rows as JSON with their totals nested under ``summary``."""
+    summary = F.struct("total_files", "files_with_matches", "files_errored", "total_matches")
+    body = F.struct("scan_id", "started_at", "completed_at", "source_path", "source_type", summary.alias("summary"))
+    return scans.select("scan_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))

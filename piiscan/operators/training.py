@@ -158,6 +158,24 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VERDICTS).json(path)
 
 
+def save_verdicts(verdicts: DataFrame, path: str) -> None:
+    """Append reviewed samples (already anonymised) as JSON lines."""
+    verdicts.filter(F.col("verdict").isin("TP", "FP")).select(*VERDICTS.fieldNames()).write.mode("append").json(path)
+
+
+def clear_verdicts(spark: SparkSession, path: str) -> int:
+    """Remove all saved verdicts; returns how many there were."""
+    n = read_verdicts(spark, path).count()
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+    return n
+
+
+def write_examples(examples: DataFrame, path: str) -> None:
+    """Write a training set as JSON lines."""
+    examples.select(*TRAINING.fieldNames()).write.mode("overwrite").json(path)
+
+
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     """Reproducible shuffle: order by a seeded hash of the whole row."""
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), *df.columns)

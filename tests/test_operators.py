@@ -236,3 +236,28 @@ def test_compare_runs_counts_copies(spark):
     after = spark.createDataFrame([("a",), ("c",), ("c",)], "k string")
     got = {(r.k, r.change, r.copies) for r in fi.compare_runs(before, after, ["k"]).collect()}
     assert got == {("a", "disappeared", 1), ("b", "disappeared", 1), ("c", "appeared", 2)}
+
+
+def test_verdict_files_and_training_sets(spark, tmp_path):
+    path = str(tmp_path / "verdicts")
+    assert tr.clear_verdicts(spark, path) == 0
+    rows = spark.createDataFrame([("ssn", "c [SSN]", 0.7, "regex", v, ".txt", "t") for v in ("TP", "FP", "skip", None)], tr.VERDICTS)
+    tr.save_verdicts(rows, path)
+    tr.save_verdicts(rows, path)
+    saved = tr.read_verdicts(spark, path)
+    assert sorted(r.verdict for r in saved.collect()) == ["FP", "FP", "TP", "TP"]
+    tr.write_examples(tr.examples_from_verdicts(saved), str(tmp_path / "train"))
+    assert spark.read.schema(tr.TRAINING).json(str(tmp_path / "train")).filter("source = 'user_feedback'").count() == 4
+    assert tr.clear_verdicts(spark, path) == 4 and tr.read_verdicts(spark, path).isEmpty()
+
+
+def test_export_json(spark, files):
+    import json
+
+    by = {r.path: json.loads(r.json) for r in rep.export_files_json(files).collect()}
+    first = by["/a.docx"]["matches"][0]
+    assert first["value"] == "07*******20" and first["confidence_level"] == "medium" and "context" not in first
+    assert by["/d.txt"]["has_sensitive_data"] is False and by["/d.txt"]["label_recommendation"] is None
+    scan = ro.scan_summary(files).selectExpr("'s1' scan_id", "timestamp'2024-01-01' started_at", "cast(null as timestamp) completed_at", "'/d' source_path", "'filesystem' source_type", "*")
+    head = json.loads(rep.export_header_json(scan).first().json)
+    assert head["summary"]["total_files"] == 5 and head["completed_at"] is None
