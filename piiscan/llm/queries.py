@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, html_extract, license_scan, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,13 @@ def op3_bpe(spark, sf):
 @register("op5_packing")
 def op5_packing(spark, sf):
     return packing.pack(documents(spark, sf), vocabulary())
+
+
+@register("op8_html")
+def op8_html(spark, sf):
+    return html_extract.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@register("op9_licenses")
+def op9_licenses(spark, sf):
+    return license_scan.summary(license_scan.scan_licenses(documents(spark, sf)))
