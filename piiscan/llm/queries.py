@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, license_scan, packing
+from . import bpe, html_extract, license_scan, lm_scoring, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op8_html(spark, sf):
 @register("op9_licenses")
 def op9_licenses(spark, sf):
     return license_scan.summary(license_scan.scan_licenses(documents(spark, sf)))
+
+
+@register("op1_lm")
+def op1_lm(spark, sf):
+    return lm_scoring.score_documents(documents(spark, sf))
