@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, license_scan, lm_scoring, packing
+from . import bpe, html_extract, license_scan, lm_scoring, minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op9_licenses(spark, sf):
 @register("op1_lm")
 def op1_lm(spark, sf):
     return lm_scoring.score_documents(documents(spark, sf))
+
+
+@register("op2_minhash")
+def op2_minhash(spark, sf):
+    return minhash.near_classes(documents(spark, sf)).select("doc_id", "class_id", "class_size")
