@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, license_scan, lm_scoring, minhash, packing
+from . import bpe, fingerprints, html_extract, license_scan, lm_scoring, minhash, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,14 @@ def op1_lm(spark, sf):
 @register("op2_minhash")
 def op2_minhash(spark, sf):
     return minhash.near_classes(documents(spark, sf)).select("doc_id", "class_id", "class_size")
+
+
+@register("op6_quality")
+def op6_quality(spark, sf):
+    out = quality.assess(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
+
+
+@register("op7_fingerprints")
+def op7_fingerprints(spark, sf):
+    return fingerprints.edited_fingerprints(documents(spark, sf))
