@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_side
 from .common import bound_arrow_batches, stage, whole_text
-from .components import connected
+from .components import link_buckets
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8^6)^24 = 0.9993.
@@ -155,26 +155,16 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
 def node_labels(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) of the nodes that have a near duplicate other than their own copies."""
     nodes = stage(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    members = stage(rows.join(shared, "band"), "buckets")
-    stars = stage(members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    rows = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("n").alias("size"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    members = stage(rows.join(shared, "bucket"), "buckets")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("text_key", "node")
     sets = stage(shingle_sets(docs, stage(wanted, "wanted")), "shingles")
-    links = stage(verify(stars, sets, threshold), "links")
-    labels = connected(links)
-
-    placed = members.select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
-    open_ = stage(placed.join(mixed, "band"), "mixed")
-    one = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = one.join(two, "band").filter((F.col("la") < F.col("lb")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stage(verify(rest, sets, threshold), "links")
-    if more.isEmpty():
-        return labels
-    return connected(links.select("a", "b").union(more.select("a", "b")))
+
+    def near_size(a: Column, b: Column) -> Column:
+        return (a >= threshold * b) & (b >= threshold * a)
+
+    return link_buckets(members, lambda pairs: verify(pairs, sets, threshold), near_size)
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

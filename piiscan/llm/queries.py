@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, license_scan, lm_scoring, minhash, packing, quality
+from . import bpe, fingerprints, html_extract, license_scan, line_dedup, lm_scoring, minhash, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +72,14 @@ def op6_quality(spark, sf):
 @register("op7_fingerprints")
 def op7_fingerprints(spark, sf):
     return fingerprints.edited_fingerprints(documents(spark, sf))
+
+
+@register("op4_secrets")
+def op4_secrets(spark, sf):
+    return secret_scan.summary(secret_scan.find_secrets(documents(spark, sf)))
+
+
+@register("op10_lines")
+def op10_lines(spark, sf):
+    out = line_dedup.kept_lines(documents(spark, sf).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
