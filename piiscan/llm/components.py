@@ -32,15 +32,15 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_match: Callable[[Column, Column], Column]) -> DataFrame:
-    """(node, label) of the nodes linked to another one within a bucket.
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, label) of the nodes linked to another one.
 
-    members: (bucket, node, size, centre), the centre being the bucket's smallest node; a node's size goes to
-    ``may_match``, a cheap necessary condition. ``verify`` takes pairs (a, b) and returns the true links among them.
+    members: (bucket, node, size, centre), the centre being the bucket's smallest node. ``verify`` takes pairs
+    (a, b) and returns the true links among them.
 
-    Every node is first paired with its centre, one pair per node and bucket however large the bucket. Buckets that are not
-    all of one component after that are settled exactly: their nodes of different components are paired. Links
-    inside a component would not change it, so no pair that matters is left out.
+    Every node is first paired with its centre, one pair per node and bucket however large the bucket. Buckets that are
+    not all of one component after that go, with the labels so far, to ``cross_pairs``: (bucket, node, size, label) to all
+    pairs of different components that may be links. Links inside a component would not change it.
     """
     stars = stage(members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stage(verify(stars).select("a", "b"), "links")
@@ -48,9 +48,19 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     placed = members.select("bucket", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
     open_ = stage(placed.join(mixed, "bucket"), "mixed")
-    one = open_.select("bucket", F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-    two = open_.select("bucket", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-    rest = one.join(two, "bucket").filter((F.col("la") < F.col("lb")) & may_match(F.col("na"), F.col("nb")))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = cross_pairs(open_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = stage(verify(rest).select("a", "b"), "links")
     return labels if more.isEmpty() else connected(links.union(more))
+
+
+def pairs_across(rows: DataFrame, may_match: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b) of rows (bucket, node, size, label) that share a bucket and differ in label.
+
+    One side leaves out each bucket's commonest label, so a large component isn't paired with itself.
+    """
+    counts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    common = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels")).filter("labels > 1")
+    rows = rows.join(common, "bucket")
+    one = rows.filter("label != common").select("bucket", F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
+    two = rows.select("bucket", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
+    return one.join(two, "bucket").filter((F.col("la") != F.col("lb")) & may_match(F.col("na"), F.col("nb"))).select("a", "b")

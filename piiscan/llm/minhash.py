@@ -8,8 +8,8 @@ verified by the exact Jaccard similarity of their shingle sets, and connected do
 
 Documents with the same words in a row are one node from the start (copies are combined before
 anything is shuffled). In a bucket every node is paired with the bucket's smallest node. Buckets whose nodes are
-not all in one class after that are settled exactly: their nodes of different classes are paired, subject only to
-the size ratio the threshold demands. So a large group of near copies costs one pair per node and band, and no
+not all in one class after that are settled exactly: prefix filtering finds every pair of their nodes of different
+classes that can reach the threshold. So a large group of near copies costs one pair per node and band, and no
 link between different texts that share a bucket is lost.
 
 Words are runs of letters, digits and ``_`` after lower-casing. Documents of one to four words have one shingle,
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
 from .common import bound_arrow_batches, stage, whole_text
-from .components import link_buckets
+from .components import link_buckets, pairs_across
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8^6)^24 = 0.9993.
@@ -161,10 +161,24 @@ def node_labels(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("text_key", "node")
     sets = stage(shingle_sets(docs, stage(wanted, "wanted")), "shingles")
 
-    def near_size(a: Column, b: Column) -> Column:
-        return (a >= threshold * b) & (b >= threshold * a)
+    return link_buckets(members, lambda pairs: verify(pairs, sets, threshold), lambda open_: prefix_pairs(open_, sets, threshold))
 
-    return link_buckets(members, lambda pairs: verify(pairs, sets, threshold), near_size)
+
+def prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes with different labels that can reach the threshold, by prefix filtering.
+
+    With shingles ordered from the rarest on, two sets of Jaccard similarity t share one among the first
+    n - ceil(t n) + 1 of each. Texts with many edits of their own begin with shingles nobody else has, so they meet nothing.
+    """
+    nodes = open_.select("node", "label").distinct()
+    rows = nodes.join(sets, "node").select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("bucket"))
+    rows = stage(rows, "open-shingles")
+    common = rows.groupBy("bucket").agg(F.count("*").alias("uses"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("uses", "bucket"))
+    prefix = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
+    first = rows.join(common, "bucket").withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("lo") != F.col("hi")))
+    first = stage(first.select("bucket", "node", "size", "label"), "prefixes")
+    return pairs_across(first, lambda a, b: (a >= threshold * b) & (b >= threshold * a))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
