@@ -30,6 +30,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The whole row as one struct beside the columns an operator needs, so no column of the input can clash with its own."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *needed)
+
+
+def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The carried rows' columns again, some of them replaced."""
+    return df.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
     """Write a frame as Parquet into the shared checkpoint folder and reread it.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
-from .common import bound_arrow_batches, stage, whole_text
+from .common import bound_arrow_batches, carried, restored, stage, whole_text
 from .components import link_buckets, pairs_across
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -207,11 +207,11 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = twins.filter(~key.eqNullSafe(F.col("keeper"))).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
     again = twins.filter(key.eqNullSafe(F.col("keeper"))).groupBy("doc_id", "text_key").count().filter("count > 1")
     again = stage(again.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")), "repeated")
-    keyed = docs.withColumn("_k", F.unhex(F.md5(whole_text())))
+    keyed = carried(docs, "doc_id", "text").withColumn("_k", F.unhex(F.md5(whole_text())))
     same = keyed["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (keyed["_k"] == F.col("_key"))
     kept = keyed.join(small_side(stage(gone, "gone")), same, "left_anti")
     if again.isEmpty():
-        return kept.drop("_k")
+        return restored(kept, docs.columns)
     once = kept.join(small_side(again), same, "left_anti")
     one_of = kept.join(small_side(again), same, "left_semi").dropDuplicates(["doc_id", "_k"])
-    return once.unionByName(one_of).drop("_k")
+    return restored(once.unionByName(one_of), docs.columns)

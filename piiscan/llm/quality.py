@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
-from .common import stage, whole_text, words
+from .common import carried, restored, stage, whole_text, words
 
 #: Fixed values of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -133,7 +133,7 @@ def assess(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The documents kept, with all their columns."""
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("lang").cast("string"), F.md5(whole_text()))
-    keyed = docs.withColumn("_key", key)
+    keyed = carried(docs, "doc_id", "lang", "text").withColumn("_key", key)
     measured = stage(features(keyed, "_key"), "quality")
     gone = judge(measured, cutoffs(measured, labels, risk, level)).filter("NOT kept").select("_key").distinct()
-    return keyed.join(small_side(stage(gone, "rejected")), "_key", "left_anti").drop("_key")
+    return restored(keyed.join(small_side(stage(gone, "rejected")), "_key", "left_anti"), docs.columns)

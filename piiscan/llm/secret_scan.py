@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import empty_array, let, lower_bound, running_sum
 from ..session import small_side
-from .common import stage, whole_text
+from .common import carried, restored, stage, whole_text
 
 #: Fixed values of the base kinds: pattern, group whose length counts, least length.
 BASE = (
@@ -262,12 +262,13 @@ def mask_documents(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) ->
 
     Documents without secrets, most of them, are left as they are; a null text stays null.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.md5(whole_text())))
+    keyed = carried(docs, "doc_id", "text").withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.md5(whole_text())))
     scanned = stage(_scan(keyed.select("_row", whole_text().alias("text"))), "secrets")
     found = _report(scanned, fdr).filter(F.size("spans") > 0).groupBy("_row").agg(F.first("spans").alias("spans"))
     joined = keyed.join(small_side(stage(found, "spans")), "_row", "left")
     text = F.when(F.col("spans").isNotNull(), mask_spans(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return restored(out, docs.columns, **new)
