@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import empty_array
+from ..session import small_side
 from .classify import classify
 from .detect import SPAN_DDL
 
@@ -46,8 +48,11 @@ def map_entity(recognizer_type: Column) -> Column:
 def usable_annotations(
     annotations: DataFrame, threshold: float = 0.5, entities: list[str] | None = None
 ) -> DataFrame:
-    """Known types at or above the score threshold, mapped to our types (map-side, no join)."""
-    rows = annotations.filter(F.col("score") >= threshold)
+    """Known types at or above the score threshold, mapped to our types (map-side, no join).
+
+    Annotations that begin before the text or hold no character are dropped.
+    """
+    rows = annotations.filter((F.col("score") >= threshold) & (F.col("start") >= 0) & (F.col("start") < F.col("end")))
     if entities is not None:
         rows = rows.filter(F.col("entity_type").isin(entities))
     return rows.withColumn("mapped_type", map_entity(F.col("entity_type"))).filter(
@@ -66,7 +71,8 @@ def annotation_spans(
     """Documents with an ``annotation_spans`` array of candidate spans.
 
     Annotations are filtered and grouped per document first, so each document body takes part in the
-    join once, whatever the number of its annotations. Values are cut from the text.
+    join once, whatever the number of its annotations. Values are cut from the text; an end behind the text is
+    drawn in to its last character.
     """
     grouped = (
         usable_annotations(annotations, threshold, entities)
@@ -77,7 +83,8 @@ def annotation_spans(
             ).alias("_ann")
         )
     )
-    joined = docs.join(grouped, doc_key, "left")
+    # small annotation tables are broadcast, so that no document body is shuffled
+    joined = docs.join(small_side(grouped), doc_key, "left")
 
     def span(a: Column, i: Column) -> Column:
         return F.struct(
@@ -92,7 +99,8 @@ def annotation_spans(
             F.lit(False).alias("is_test_data"),
         )
 
-    spans = F.transform(F.sort_array("_ann"), span)
+    # an annotation that begins behind the end of its text marks nothing
+    spans = F.transform(F.filter(F.sort_array("_ann"), lambda a: a["start"] < F.length(text_col)), span)
     return joined.withColumn("annotation_spans", F.coalesce(spans, empty_array(SPAN_DDL))).drop("_ann")
 
 
@@ -110,6 +118,17 @@ def classify_with_annotations(
     return classify(merged, text_col, annotation_col="annotation_spans", keep_text=keep_text)
 
 
+_MODELS: dict[str, Callable] = {}
+
+
+def _worker_model(key: str, load: Callable[[], Callable]) -> Callable:
+    """The model of one scan, loaded once in a worker process that serves many tasks."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = load()
+    return _MODELS[key]
+
+
 def annotate_with_model(
     docs: DataFrame,
     load_model: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int, float]]]]],
@@ -119,13 +138,16 @@ def annotate_with_model(
 ) -> DataFrame:
     """Run a user's recogniser over document batches; the only place where Python workers are needed.
 
-    ``load_model()`` runs once per worker and returns a function from texts to lists of
+    ``load_model()`` runs once per worker process and returns a function from texts to lists of
     (type, start, end, score). A batch that fails is retried text by text; a failing text gives one
     row with ``error`` and no annotation, and the scan goes on.
     """
 
+    load_key = uuid.uuid4().hex
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_model()
+        model = _worker_model(load_key, load_model)
         for batch in batches:
             for at in range(0, len(batch), batch_rows):
                 part = batch.iloc[at : at + batch_rows]

@@ -32,8 +32,13 @@ def pattern_spans(text: Column, spec: PatternSpec, ord_: int) -> Column:
                 lambda v, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(values, i - 1)), F.lit(0)),
             ),
         )
-        return let(running_sum(steps), lambda starts: _valid(spec, F.transform(
-            values, lambda v, i: _span(spec, ord_, v, F.get(starts, i))
+        if spec.scan is None:
+            return let(running_sum(steps), lambda starts: _valid(spec, F.transform(
+                values, lambda v, i: _span(spec, ord_, v, F.get(starts, i))
+            )))
+        found = F.regexp_extract_all(text, F.lit(spec.scan), F.lit(1))
+        return let(F.struct(running_sum(steps).alias("at"), found.alias("found")), lambda s: _valid(spec, F.transform(
+            s["found"], lambda v, i: _span(spec, ord_, v, F.get(s["at"], i) + F.length(F.get(values, i)) - F.length(v))
         )))
 
     return let(

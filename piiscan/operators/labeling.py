@@ -58,10 +58,11 @@ def resolve_labels(
 ) -> DataFrame:
     """Add ``label_id``: a GUID as is, else the mapping, else a tenant label of that name, else null.
 
-    Both lookups are dimension tables; they are broadcast after a size check.
+    Both lookups are dimension tables, made unique by their lower-case key (smallest id); they are broadcast after
+    a size check.
     """
-    by_rec = mapping.filter(~F.coalesce("skip", F.lit(False))).select(
-        F.lower("recommendation").alias("_rec"), F.col("label_id").alias("_mapped")
+    by_rec = mapping.filter(~F.coalesce("skip", F.lit(False))).groupBy(F.lower("recommendation").alias("_rec")).agg(
+        F.min("label_id").alias("_mapped")
     )
     by_name = (
         tenant_labels.groupBy(F.lower("name").alias("_name")).agg(F.min("id").alias("_named"))
@@ -98,7 +99,7 @@ def plan_labels(
         todo = todo.filter(wanted.isNotNull())
     todo = todo.select("path", "item_id", F.col("label_recommendation").alias("recommendation"), wanted.alias("label"))
     resolved = resolve_labels(todo, mapping, tenant_labels)
-    names = tenant_labels.select(F.col("id").alias("label_id"), F.col("name").alias("new_label_name"))
+    names = tenant_labels.groupBy(F.col("id").alias("label_id")).agg(F.min("name").alias("new_label_name"))
     resolved = resolved.join(small_side(names), "label_id", "left")
     if current_labels is not None:
         now = current_labels.select(

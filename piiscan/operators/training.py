@@ -237,35 +237,27 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def apply_classifier(
-    files: DataFrame, model: PipelineModel, key: str = "path", threshold: float = 0.5, version: str = MODEL_VERSION
+    files: DataFrame, model: PipelineModel, threshold: float = 0.5, version: str = MODEL_VERSION
 ) -> DataFrame:
     """Flag matches the model takes for false positives, and label again.
 
-    Flags are only ever set. Match rows (not document bodies) are scored in parallel; only the
-    ordinals of rejected matches travel back to their document.
+    Flags are only ever set. One pass: files are exploded into matches (a file without any keeps one row), scored in
+    parallel, and put together by a row id that no other file shares, so files of several scans may have one path. The
+    detection below runs once, and document bodies don't travel.
     """
-    rows = files.select(key, F.posexplode("matches").alias("pos", "m")).select(
-        key, "pos", anonymize_context(F.col("m.context"), F.col("m.value"), F.col("m.entity_type")).alias("text")
-    )
-    rejected = (
-        predict(model, rows)
-        .filter(~F.col("is_true_positive") & (F.col("tpfp_confidence") >= threshold))
-        .groupBy(key)
-        .agg(F.collect_set("pos").alias("_rejected"))
-    )
-    joined = files.join(rejected, key, "left")
-    flagged = F.transform(
-        "matches",
-        lambda m, i: m.withField(
-            "is_test_data", m["is_test_data"] | F.coalesce(F.array_contains(F.col("_rejected"), i), F.lit(False))
-        ).withField("model_version", F.lit(version)),
-    )
-    return (
-        joined.withColumn("matches", flagged)
-        .drop("_rejected")
-        .withColumn("label_recommendation", recommend_label(F.col("matches")))
-        .select(*files.columns)
+    rest = [c for c in files.columns if c != "matches"]
+    numbered = files.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest).alias("_file"), "matches")  # before the matches are taken apart
+    rows = numbered.select("_row", "_file", F.posexplode_outer("matches").alias("_pos", "_m"))
+    context = anonymize_context(F.col("_m.context"), F.col("_m.value"), F.col("_m.entity_type"))
+    scored = predict(model, rows.withColumn("text", F.coalesce(context, F.lit(""))))
+    wrong = ~F.col("is_true_positive") & (F.col("tpfp_confidence") >= threshold)
+    flagged = F.col("_m").withField("is_test_data", F.col("_m.is_test_data") | wrong).withField("model_version", F.lit(version))
+    grouped = scored.groupBy("_row").agg(
+        F.first("_file").alias("_file"),
+        F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("pos"), flagged.alias("m"))))).alias("_found"),
     )
+    back = grouped.select("_file.*", F.transform("_found", lambda x: x["m"]).alias("matches"))
+    return back.withColumn("label_recommendation", recommend_label(F.col("matches"))).select(*files.columns)
 
 
 def save_model(spark: SparkSession, model: PipelineModel, path: str, version: str = MODEL_VERSION) -> None:

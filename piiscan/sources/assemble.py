@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_blank
 from ..functions.regexes import SPACE
+from ..operators.detect import detect, explode_findings
+from ..operators.patterns import PatternSpec
 
-#: Documents longer than this are not put together; they become error rows, as large files do.
-MAX_DOCUMENT_CHARS = 100 * 1024 * 1024
+#: Characters of a segment of a long document.
+SEGMENT_CHARS = 4 * 1024 * 1024
 
 
 def _strip(text: Column) -> Column:
@@ -29,9 +31,9 @@ def _assemble(
 ) -> DataFrame:
     """Join pieces into (keys, text, error).
 
-    A document is one value, so its group must fit one task. The length of every document is summed
-    first (a partial aggregate of numbers); the pieces of an over-long document never reach a group,
-    and the document is reported as too large instead.
+    No document is left out: by default there is no limit, and a document becomes one value, which must fit one task. Documents
+    too long for that are read as segments (``segments``). A caller who wants long documents reported as errors gives
+    ``max_chars``; their lengths are summed first, and their pieces never reach a group.
     """
     if max_chars is None:
         return _ordered_text(pieces, keys, order, separator).withColumn("error", F.lit(None).cast("string"))
@@ -49,7 +51,35 @@ def _assemble(
     )
 
 
-def assemble_pages(pages: DataFrame, key: str = "doc", max_chars: int | None = MAX_DOCUMENT_CHARS) -> DataFrame:
+def segments(pieces: DataFrame, keys: list[str], order: list[str], separator: str = "\n", chars: int = SEGMENT_CHARS) -> DataFrame:
+    """(keys, segment, base_offset, text) of documents of any length.
+
+    A running length, streamed in order, numbers the pieces; a segment holds the pieces that begin in its stretch of
+    ``chars`` characters, and the first piece of the next one, so that a finding across their border is seen whole. ``base_offset``
+    is where the segment begins in the whole document. Only a segment's pieces come together in one task.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.filter(F.col("piece").isNotNull()).withColumn(
+        "_at", F.coalesce(F.sum(F.length("piece") + len(separator)).over(before), F.lit(0)).cast("long")
+    )
+    own = F.floor(F.col("_at") / chars).cast("long")
+    previous = F.lag(own).over(Window.partitionBy(*keys).orderBy(*order))
+    parts = placed.withColumn("_own", own).withColumn("_lent", F.when(previous < own, previous))
+    parts = parts.select("*", F.explode(F.array_compact(F.array("_own", "_lent"))).alias("segment"))
+    packed = F.sort_array(F.collect_list(F.struct("_at", *order, "piece")))
+    return parts.groupBy(*keys, "segment").agg(
+        F.min("_at").alias("base_offset"), F.array_join(F.transform(packed, lambda p: p["piece"]), separator).alias("text")
+    )
+
+
+def findings_of_segments(parts: DataFrame, keys: list[str], patterns: list[PatternSpec] | None = None) -> DataFrame:
+    """Findings of segmented documents with offsets in the whole document; a finding in two segments counts once."""
+    rows = explode_findings(parts.select(*keys, "base_offset", detect(F.col("text"), patterns).alias("matches")))
+    moved = rows.withColumn("start", F.col("start") + F.col("base_offset")).withColumn("end", F.col("end") + F.col("base_offset"))
+    return moved.drop("base_offset").dropDuplicates([*keys, "start", "end", "entity_type"])
+
+
+def assemble_pages(pages: DataFrame, key: str = "doc", max_chars: int | None = None) -> DataFrame:
     """(doc, page, text) -> document text with a header per page; blank pages keep their number only."""
     pieces = pages.filter(~is_blank(F.col("text"))).select(
         key, "page", F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]\n"), F.col("text")).alias("piece")
@@ -57,7 +87,7 @@ def assemble_pages(pages: DataFrame, key: str = "doc", max_chars: int | None = M
     return _assemble(pieces, [key], ["page"], max_chars)
 
 
-def assemble_sheets(cells: DataFrame, key: str = "doc", max_chars: int | None = MAX_DOCUMENT_CHARS) -> DataFrame:
+def assemble_sheets(cells: DataFrame, key: str = "doc", max_chars: int | None = None) -> DataFrame:
     """(doc, sheet_no, sheet, row, col, value) -> text: a header per sheet, cells joined by bars.
 
     Null cells are left out and empty rows dropped; a sheet without cells keeps its header.
@@ -79,7 +109,7 @@ def assemble_sheets(cells: DataFrame, key: str = "doc", max_chars: int | None =
     return _assemble(lines.unionByName(headers), [key], ["sheet_no", "row"], max_chars)
 
 
-def assemble_slides(shapes: DataFrame, key: str = "doc", max_chars: int | None = MAX_DOCUMENT_CHARS) -> DataFrame:
+def assemble_slides(shapes: DataFrame, key: str = "doc", max_chars: int | None = None) -> DataFrame:
     """(doc, slide, seq, kind, text) -> text; ``kind`` is text, table or notes.
 
     Paragraphs and table rows are trimmed, blank ones dropped; notes follow the shapes of a slide.
@@ -121,8 +151,27 @@ def message_text(
 
 
 def assemble_turns(
-    turns: DataFrame, key: str = "conv_id", max_chars: int | None = MAX_DOCUMENT_CHARS
+    turns: DataFrame, key: str = "conv_id", max_chars: int | None = None
 ) -> DataFrame:
     """(key, turn, role, text) -> one text per conversation, ``role: text`` lines in turn order."""
     pieces = turns.select(key, "turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("piece"))
     return _assemble(pieces, [key], ["turn"], max_chars)
+
+
+def assemble_document(parts: DataFrame, key: str = "doc", max_chars: int | None = None) -> DataFrame:
+    """(doc, kind, seq, row, col, text) of word-processor files -> text.
+
+    Paragraphs that aren't blank come first, then table rows (their trimmed, non-blank cells joined by bars), then headers, then
+    footers; ``kind`` is paragraph, cell, header or footer, ``seq`` numbers paragraphs, tables and sections, and ``row`` and
+    ``col`` place a cell in its table.
+    """
+    seen = parts.filter(~is_blank(F.col("text")))
+    place = F.expr("CASE kind WHEN 'paragraph' THEN 0 WHEN 'cell' THEN 1 WHEN 'header' THEN 2 ELSE 3 END")
+    flat = seen.filter("kind <> 'cell'").select(
+        key, place.alias("part"), F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("row"), F.col("text").alias("piece")
+    )
+    cells = seen.filter("kind = 'cell'").groupBy(key, F.col("seq").cast("long").alias("seq"), F.col("row").cast("long").alias("row")).agg(
+        F.sort_array(F.collect_list(F.struct("col", _strip(F.col("text")).alias("text")))).alias("cells")
+    )
+    rows = cells.select(key, F.lit(1).alias("part"), "seq", "row", F.array_join(F.transform("cells", lambda c: c["text"]), " | ").alias("piece"))
+    return _assemble(flat.unionByName(rows), [key], ["part", "seq", "row"], max_chars)

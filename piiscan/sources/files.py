@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import file_name, file_type
 from ..operators.classify import scan_documents
 from ..operators.patterns import PatternSpec
+from ..session import small_side
 
 # --- Fixed values: skipped names, readable file types ---------------------------------------------
 
@@ -52,9 +53,6 @@ PARSED_EXTENSIONS = {
     ".eml": "message",
 }
 
-MAX_FILE_BYTES = 100 * 1024 * 1024
-
-
 def supported_extensions() -> list[str]:
     return sorted(set(TEXT_EXTENSIONS) | set(PARSED_EXTENSIONS))
 
@@ -94,7 +92,9 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def size_error(size: Column, max_bytes: int) -> Column:
+def size_error(size: Column, max_bytes: int | None) -> Column:
+    if max_bytes is None:
+        return F.lit(None).cast("string")
     mb = 1024 * 1024
     return F.when(
         size > max_bytes,
@@ -124,13 +124,15 @@ def read_documents(
     spark: SparkSession,
     root: str,
     exclude: list[str] | None = None,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """Path, size, time, decoded text or error of every readable file under a root.
 
     Exclusion, type and size tests use file metadata, which prunes files from the listing before any
-    content is read. A root that is a single file is scanned whatever its name; a missing root gives
-    one error row. Files with a parsed format need their parts as tables and are reported as such.
+    content is read. There is no size limit unless one is given. A root that is a single file is scanned whatever its name; a missing root gives
+    one error row. The content of files with a parsed format is never read: their text is taken from ``parts`` (path, text), the
+    output of ``sources.assemble`` for the same paths, and a file without parts is reported as an error.
     Spark's file index leaves out empty files and names starting with ``.`` or ``_``.
     """
     uri, kind = _root_uri(spark, root)
@@ -148,34 +150,33 @@ def read_documents(
         relative = F.url_decode(F.replace(F.substr(meta, F.lit(prefix + 1)), F.lit("+"), F.lit("%2B")))
         listing = listing.filter(~is_excluded(relative, exclude) & format_kind(relative).isNotNull())
     size = F.col("_metadata.file_size")
-    too_large = size_error(size, max_bytes)
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    small = listing.filter((size <= max_bytes) & (F.col("length") <= max_bytes))
-    unsupported = type_error(path)
-    parsed = F.when(format_kind(path) != "text", F.concat(F.lit("Extraction failed: no parts for "), extension(path)))
-    readable = small.select(
-        path.alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified"),
-        F.when(format_kind(path) == "text", decode_text(F.col("content"))).alias("text"),
-        F.coalesce(unsupported, parsed).alias("error"),
-    )
-    rejected = listing.filter(size > max_bytes).select(
-        path.alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified"),
-        F.lit(None).cast("string").alias("text"),
-        too_large.alias("error"),
-    )
-    return readable.unionByName(rejected)
+    about = [path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
+    none = F.lit(None).cast("string")
+    kind_of = F.coalesce(format_kind(F.url_decode(F.replace(meta, F.lit("+"), F.lit("%2B")))), F.lit("none"))
+    fits = F.lit(True) if max_bytes is None else size <= max_bytes
+    texts = listing.filter(fits & (kind_of == "text")).select(*about, decode_text(F.col("content")).alias("text"), none.alias("error"))
+    # the other branches read metadata only
+    unread = listing.filter(fits & (kind_of != "text")).select(*about, type_error(path).alias("error"), extension(path).alias("_suffix"))
+    if parts is not None:
+        unread = unread.join(small_side(parts.select("path", "text")), "path", "left")
+    else:
+        unread = unread.withColumn("text", none)
+    missing = F.when(F.col("text").isNull(), F.concat(F.lit("Extraction failed: no parts for "), "_suffix"))
+    unread = unread.withColumn("error", F.coalesce("error", missing)).drop("_suffix")
+    found = texts.unionByName(unread)
+    if max_bytes is None:
+        return found
+    return found.unionByName(listing.filter(~fits).select(*about, none.alias("text"), size_error(size, max_bytes).alias("error")))
 
 
 def scan_directory(
     spark: SparkSession,
     root: str,
     exclude: list[str] | None = None,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     patterns: list[PatternSpec] | None = None,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """File results of a directory tree. Bad files become rows with an error; the scan never aborts."""
-    return scan_documents(read_documents(spark, root, exclude, max_bytes), patterns=patterns)
+    return scan_documents(read_documents(spark, root, exclude, max_bytes, parts), patterns=patterns)

@@ -17,17 +17,21 @@ def filter_entries(
     since: datetime | str | None = None,
     action: str | None = None,
     scan_id: str | None = None,
-    limit: int | None = 1000,
+    limit: int | None = None,
     newest_first: bool = False,
 ) -> DataFrame:
-    """Entries from ``since`` on; the oldest ``limit`` unless ``newest_first``."""
+    """Entries from ``since`` on, all of them or the oldest ``limit`` (the newest with ``newest_first``).
+
+    Entries of one moment follow their other columns, so a limit always keeps the same rows.
+    """
     if since is not None:
         entries = entries.filter(F.col("timestamp") >= F.lit(since).cast("timestamp"))
     if action is not None:
         entries = entries.filter(F.col("action") == action)
     if scan_id is not None:
         entries = entries.filter(F.col("scan_id") == scan_id)
-    entries = entries.orderBy(F.desc("timestamp") if newest_first else F.asc("timestamp"))
+    ties = [c for c in entries.columns if c != "timestamp"]
+    entries = entries.orderBy(F.desc("timestamp") if newest_first else F.asc("timestamp"), *ties)
     return entries.limit(limit) if limit is not None else entries
 
 

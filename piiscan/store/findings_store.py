@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from datetime import datetime, timezone
@@ -21,6 +22,29 @@ from .crypto import decrypt, encrypt, reencrypt
 _SAFE_ID = re.compile(r"[A-Za-z0-9_.-]+")
 
 
+def seal_matches(files: DataFrame, key: bytes) -> DataFrame:
+    """File results whose matches carry values and contexts as ciphertext only."""
+    return files.withColumn(
+        "matches",
+        F.transform(
+            "matches",
+            lambda m: F.struct(
+                m["entity_type"].alias("entity_type"),
+                encrypt(m["value"], key).alias("value_encrypted"),
+                redact(m["value"]).alias("value_redacted"),
+                m["start"].alias("start_pos"),
+                m["end"].alias("end_pos"),
+                m["confidence"].alias("confidence"),
+                confidence_level(m["confidence"]).alias("confidence_level"),
+                m["detector"].alias("detector"),
+                encrypt(m["context"], key).alias("context_encrypted"),
+                m["is_test_data"].alias("is_test_data"),
+                m["model_version"].alias("model_version"),
+            ),
+        ),
+    )
+
+
 class FindingsStore:
     """``root/{scans,files,matches}`` partitioned by ``scan_id`` and ``batch_id``.
 
@@ -50,6 +74,21 @@ class FindingsStore:
             return 1
         return max((int(s.getPath().getName()[1:]) for s in fs.listStatus(p)), default=1)
 
+    def _check_key(self, claim: bool = False) -> None:
+        """Refuse to seal or open with another key than the one the current version was written with.
+
+        The version's marker names a digest of its key. A store opened before a rotation would otherwise mix keys in one
+        table. ``claim`` marks an unmarked version with this store's key.
+        """
+        marker = f"{self.root}/matches_keys/v{self._version()}"
+        p, fs = self._fs(marker)
+        own = hashlib.sha256(b"findings key" + self.key).hexdigest()[:16]
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        if names and own not in names:
+            raise ValueError("the store has another key by now; open it again with the current one")
+        if claim and not names:
+            fs.mkdirs(self._fs(f"{marker}/{own}")[0])
+
     def _path(self, table: str) -> str:
         return f"{self.root}/matches_v{self._version()}" if table == "matches" else f"{self.root}/{table}"
 
@@ -61,7 +100,9 @@ class FindingsStore:
         partitioned = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema if f.name != 'scan_id')}, scan_id string, batch_id bigint"
         return self.spark.read.schema(partitioned).parquet(path).select(*schema.fieldNames())
 
-    def _write(self, df: DataFrame, name: str) -> None:
+    def _write(self, df: DataFrame, name: str, scan_id: str, batch_id: int) -> None:
+        """Replace the (scan, batch) partition; a batch that now has no rows leaves none behind."""
+        self._remove(f"{self._path(name)}/scan_id={scan_id}/batch_id={batch_id}")
         (
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("scan_id", "batch_id").parquet(self._path(name))
@@ -86,29 +127,11 @@ class FindingsStore:
         scan_id = scan_id or uuid.uuid4().hex[:8]
         if not _SAFE_ID.fullmatch(scan_id):
             raise ValueError("scan ids may hold letters, digits, '_', '.' and '-'")
+        self._check_key(claim=True)
         started = started_at or datetime.now(timezone.utc)
         staging = f"{self.root}/_staging/{scan_id}_{batch_id}"
         # the staged copy carries ciphertext only
-        sealed = files.withColumn(
-            "matches",
-            F.transform(
-                "matches",
-                lambda m: F.struct(
-                    m["entity_type"].alias("entity_type"),
-                    encrypt(m["value"], self.key).alias("value_encrypted"),
-                    redact(m["value"]).alias("value_redacted"),
-                    m["start"].alias("start_pos"),
-                    m["end"].alias("end_pos"),
-                    m["confidence"].alias("confidence"),
-                    confidence_level(m["confidence"]).alias("confidence_level"),
-                    m["detector"].alias("detector"),
-                    encrypt(m["context"], self.key).alias("context_encrypted"),
-                    m["is_test_data"].alias("is_test_data"),
-                    m["model_version"].alias("model_version"),
-                ),
-            ),
-        )
-        sealed.write.mode("overwrite").parquet(staging)
+        seal_matches(files, self.key).write.mode("overwrite").parquet(staging)
         staged = self.spark.read.parquet(staging).select(
             F.lit(scan_id).alias("scan_id"), F.lit(batch_id).cast("bigint").alias("batch_id"), "*"
         )
@@ -118,14 +141,14 @@ class FindingsStore:
             has_sensitive_data(F.col("matches")).alias("has_sensitive_data"),
             "label_recommendation", "current_label", "error", "scan_time_ms", "batch_id",
         )
-        self._write(file_rows, "files")
+        self._write(file_rows, "files", scan_id, batch_id)
         counted = Observation()
         match_rows = (
             explode_findings(staged.select("scan_id", "batch_id", "path", file_id.alias("file_id"), "matches"))
             .withColumn("id", F.md5(F.concat_ws("\x1f", "file_id", F.col("start_pos").cast("string"), "entity_type")))
             .observe(counted, F.count(F.lit(1)).alias("n"))
         )
-        self._write(match_rows.select(*MATCHES.fieldNames(), "batch_id"), "matches")
+        self._write(match_rows.select(*MATCHES.fieldNames(), "batch_id"), "matches", scan_id, batch_id)
         summary = scan_summary(staged).select(
             F.lit(scan_id).alias("scan_id"),
             F.lit(started).cast("timestamp").alias("started_at"),
@@ -136,7 +159,7 @@ class FindingsStore:
             F.lit(None).cast("string").alias("metadata"),
             F.lit(batch_id).cast("bigint").alias("batch_id"),
         )
-        self._write(summary.coalesce(1), "scans")
+        self._write(summary.coalesce(1), "scans", scan_id, batch_id)
         self._remove(staging)
         self.audit.log(
             "finding_store", {"source_path": source_path, "batch_id": batch_id},
@@ -164,11 +187,12 @@ class FindingsStore:
     def get_scan(self, scan_id: str) -> DataFrame:
         """The scan's row, or no row."""
         found = self.scans().filter(F.col("scan_id") == scan_id)
-        self.audit.log("finding_read", {"scan_id": scan_id, "type": "scan_metadata"}, scan_id=scan_id)
+        self.audit.log("finding_read", {"scan_id": scan_id, "type": "scan_metadata"}, record_count=found.count(), scan_id=scan_id)
         return found
 
-    def list_scans(self, limit: int = 100) -> DataFrame:
-        return recent(self.scans(), limit)
+    def list_scans(self, limit: int | None = None) -> DataFrame:
+        """Scans, newest first; all of them unless a limit is asked for."""
+        return self.scans().orderBy(F.desc("started_at"), "scan_id") if limit is None else recent(self.scans(), limit)
 
     def get_files(self, scan_id: str, only_with_matches: bool = False) -> DataFrame:
         rows = self.table("files").filter(F.col("scan_id") == scan_id)
@@ -178,6 +202,7 @@ class FindingsStore:
 
     def _opened(self, rows: DataFrame, decrypted: bool) -> DataFrame:
         if decrypted:
+            self._check_key()
             rows = rows.withColumn("value", decrypt(F.col("value_encrypted"), self.key)).withColumn(
                 "context", F.coalesce(decrypt(F.col("context_encrypted"), self.key), F.lit(""))
             )
@@ -193,28 +218,30 @@ class FindingsStore:
     ) -> DataFrame:
         """Findings with their file; filters reach the scan, decryption follows them.
 
-        Reading is lazy, so the entry is logged when the frame is handed out.
+        Reading is lazy, so the entry is logged when the frame is handed out, with the number of findings it holds.
         """
         matches = filter_findings(self.table("matches"), scan_id, entity_type, min_confidence, include_test_data)
         files = self.table("files")
         if scan_id:
             files = files.filter(F.col("scan_id") == scan_id)
         filters = {"scan_id": scan_id, "entity_type": entity_type, "min_confidence": min_confidence}
-        self.audit.log("finding_read", {"filters": filters, "decrypted": decrypted}, scan_id=scan_id)
-        return self._opened(with_file(matches, files), decrypted)
+        found = with_file(matches, files)
+        self.audit.log("finding_read", {"filters": filters, "decrypted": decrypted}, record_count=found.count(), scan_id=scan_id)
+        return self._opened(found, decrypted)
 
     def get_findings_by_file(self, file_path: str, decrypted: bool = True, include_test_data: bool = True) -> DataFrame:
         files = self.table("files").filter(F.col("path") == file_path)
         matches = self.table("matches")
         if not include_test_data:
             matches = matches.filter(~F.col("is_test_data"))
-        self.audit.log("finding_read", {"file_path": file_path, "decrypted": decrypted})
-        return self._opened(with_file(matches, files), decrypted)
+        found = with_file(matches, files)
+        self.audit.log("finding_read", {"file_path": file_path, "decrypted": decrypted}, record_count=found.count())
+        return self._opened(found, decrypted)
 
     def load_scan(self, scan_id: str) -> DataFrame:
         """File results of a stored scan, matches nested again (errors and test matches included)."""
         matches = self.table("matches").filter(F.col("scan_id") == scan_id)
-        self.audit.log("finding_read", {"scan_id": scan_id, "type": "load_scan"}, scan_id=scan_id)
+        self.audit.log("finding_read", {"scan_id": scan_id, "type": "load_scan"}, record_count=matches.count(), scan_id=scan_id)
         opened = self._opened(matches, True).drop("id")
         files = self.table("files").filter(F.col("scan_id") == scan_id)
         return rebuild_files(files, opened).select(
@@ -253,6 +280,7 @@ class FindingsStore:
 
     def rotate_key(self, new_key: bytes) -> int:
         """Re-encrypt all stored values into a new version, then switch to it; returns its row count."""
+        self._check_key()
         version, old = self._version(), self._path("matches")
         counted = Observation()
         if self._exists(old):
@@ -264,8 +292,10 @@ class FindingsStore:
                 rows = rows.withColumn(c, reencrypt(F.col(c), self.key, new_key))
             rows = rows.observe(counted, F.count(F.lit(1)).alias("n"))
             rows.write.mode("overwrite").partitionBy("scan_id", "batch_id").parquet(f"{self.root}/matches_v{version + 1}")
-            pointer, fs = self._fs(f"{self.root}/matches_current/v{version + 1}")
-            fs.mkdirs(pointer)
+            digest = hashlib.sha256(b"findings key" + new_key).hexdigest()[:16]
+            for folder in (f"matches_keys/v{version + 1}/{digest}", f"matches_current/v{version + 1}"):
+                pointer, fs = self._fs(f"{self.root}/{folder}")
+                fs.mkdirs(pointer)
             self._remove(old)
             n = int(counted.get["n"])
         else:

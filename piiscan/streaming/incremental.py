@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.classify import has_sensitive_data, scan_documents
 from ..operators.detect import explode_findings
 from ..operators.patterns import PatternSpec
-from ..store.findings_store import FindingsStore
+from ..store.findings_store import FindingsStore, seal_matches
 
 
 def stream_documents(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -25,10 +27,10 @@ def scan_stream(docs: DataFrame, path_col: str = "path", text_col: str = "text",
     return scan_documents(docs, path_col, text_col, patterns)
 
 
-def write_results(results: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append file results; drains what is there and stops."""
+def write_results(results: DataFrame, target: str, checkpoint: str, key: bytes) -> StreamingQuery:
+    """Append file results, values and contexts sealed as in the store; drains what is there and stops."""
     return (
-        results.writeStream.format("parquet").outputMode("append")
+        seal_matches(results, key).writeStream.format("parquet").outputMode("append")
         .option("path", target).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
@@ -62,6 +64,19 @@ def live_scan_counts(results: DataFrame) -> DataFrame:
     )
 
 
+def last_files(results: DataFrame, n: int, checkpoint: str, show: Callable[[list[str]], None]) -> StreamingQuery:
+    """Hand the names of the last ``n`` files of every micro-batch to ``show``; only ``n`` names reach the driver."""
+
+    def hand_over(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("at", F.monotonically_increasing_id())
+        show([r["path"] for r in numbered.orderBy(F.desc("at")).limit(n).collect()][::-1])
+
+    return (
+        results.select("path").writeStream.foreachBatch(hand_over)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def drain_complete(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Run an aggregate in complete mode until the source is drained; the result is a small table."""
     query = (
