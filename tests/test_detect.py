@@ -172,7 +172,7 @@ def test_classify_is_one_narrow_stage(spark):
     findings = explode_findings(classify(docs))
     plan = findings._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
-    assert plan.count("regexp_extract_all(text") == 7  # six rules and the context blocks
+    assert plan.count("regexp_extract_all(text") == 8  # six rules, the e-mail values, the context blocks
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
