@@ -99,14 +99,16 @@ def test_components(spark):
 
 
 def python_simhash(words, spark):
+    longer = [w for w in words if len(w) >= line_dedup.FEATURE_CHARS]
+    words = longer if len(longer) >= 3 else words
     hashes = [r[0] & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def test_simhash(spark):
-    for words in (["a"], ["a", "b", "a"], prose(3, 40).split()):
-        frame = spark.createDataFrame([(words,)], "w array<string>")
-        got = frame.select(F.expr(line_dedup.simhash("w"))).first()[0] & (1 << 64) - 1
+    for words in (["a"], ["a", "b", "a"], prose(3, 40).split(), prose(4, 300).split(), ["same", "words"] * 90, ["same", "words", "here"] * 200, ["same", "words"] * 20_000):
+        frame = spark.createDataFrame([(words,)], "w array<string>").withColumn("f", F.expr(line_dedup.features("w")))
+        got = frame.select(F.expr(line_dedup.simhash("f"))).first()[0] & (1 << 64) - 1
         assert got == python_simhash(words, spark)
 
 
@@ -154,7 +156,8 @@ def test_fuzzy_lines_by_brute_force(spark):
     lines = list(dict.fromkeys(lines))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     plain_docs = docs.select("doc_id", line_dedup.normalised(F.col("text")).alias("plain"))
-    hashes = [r[0] & (1 << 64) - 1 for r in plain_docs.select(F.expr(line_dedup.simhash("split(plain, ' ')")), "doc_id").orderBy("doc_id").collect()]
+    featured = plain_docs.withColumn("f", F.expr(line_dedup.features("split(plain, ' ')")))
+    hashes = [r[0] & (1 << 64) - 1 for r in featured.select(F.expr(line_dedup.simhash("f")), "doc_id").orderBy("doc_id").collect()]
 
     def distance(a, b):
         row = list(range(len(b) + 1))
