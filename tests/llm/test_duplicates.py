@@ -100,16 +100,19 @@ def test_components(spark):
 
 def python_simhash(words, spark):
     longer = [w for w in words if len(w) >= line_dedup.FEATURE_CHARS]
-    words = longer if len(longer) >= 3 else words
-    hashes = [r[0] & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    if len(longer) < line_dedup.MIN_FEATURES:
+        return None
+    known = {r["w"]: r["h"] & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in set(longer)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    return sum(1 << b for b in range(64) if 2 * sum(known[w] >> b & 1 for w in longer) > len(longer))
 
 
 def test_simhash(spark):
-    for words in (["a"], ["a", "b", "a"], prose(3, 40).split(), prose(4, 300).split(), ["same", "words"] * 90, ["same", "words", "here"] * 200, ["same", "words"] * 20_000):
-        frame = spark.createDataFrame([(words,)], "w array<string>").withColumn("f", F.expr(line_dedup.features("w")))
-        got = frame.select(F.expr(line_dedup.simhash("f"))).first()[0] & (1 << 64) - 1
-        assert got == python_simhash(words, spark)
+    lines = [["a"] * 6, ["long", "words", "a", "b", "c"], prose(3, 40).split(), prose(4, 300).split(), ["same", "words", "here"] * 30_000]
+    docs = line_dedup.row_key(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string"))
+    got = {r["doc"]["doc_id"]: r["simhash"] for r in line_dedup.line_rows(docs).collect()}
+    for k, words in enumerate(lines):
+        want = python_simhash(words, spark)
+        assert (got[k] if got[k] is None else got[k] & (1 << 64) - 1) == want
 
 
 @pytest.mark.parametrize("blocks", [5, 6, 7])
@@ -155,9 +158,8 @@ def test_fuzzy_lines_by_brute_force(spark):
         lines += [b, b[:-1] + "q", b.replace("amber", "amberr"), edited(b, k, 1), edited(b, k + 50, 9)]
     lines = list(dict.fromkeys(lines))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    plain_docs = docs.select("doc_id", line_dedup.normalised(F.col("text")).alias("plain"))
-    featured = plain_docs.withColumn("f", F.expr(line_dedup.features("split(plain, ' ')")))
-    hashes = [r[0] & (1 << 64) - 1 for r in featured.select(F.expr(line_dedup.simhash("f")), "doc_id").orderBy("doc_id").collect()]
+    rows = {r["doc"]["doc_id"]: r["simhash"] for r in line_dedup.line_rows(line_dedup.row_key(docs)).collect()}
+    hashes = [rows[k] & (1 << 64) - 1 for k in range(len(lines))]
 
     def distance(a, b):
         row = list(range(len(b) + 1))
