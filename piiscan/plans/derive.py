@@ -7,6 +7,7 @@ same documents from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import spread_small
 from ..sources.synth import corpus_sql, generate_corpus, luhn_card
@@ -71,13 +72,14 @@ TREE_SQL = (
     " 'order_' || CAST(o_orderkey AS STRING) || '.docx' FROM {orders}"
 )
 
-#: Annotations of an outside recogniser over the documents: three per text, of mapped and unknown types.
+#: Annotations of an outside recogniser over all documents (rows with j = 0, 1, 2): three per text, of mapped and unknown types,
+#: some beginning before or behind the text, some ending behind it.
 ANNOTATIONS_SQL = (
     "SELECT doc_id, CASE (doc_id + j) % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOCATION' WHEN 2 THEN 'ORGANIZATION'"
-    " ELSE 'IP_ADDRESS' END AS entity_type, CAST((doc_id * 7 + j * 11) % 40 AS INT) AS start_pos,"
+    " ELSE 'IP_ADDRESS' END AS entity_type, CAST((doc_id * 7 + j * 11) % 40 - CASE WHEN (doc_id + j) % 29 = 0 THEN 50 ELSE 0 END AS INT) AS start_pos,"
     " CAST((doc_id * 7 + j * 11) % 40 + 5 + j AS INT) AS end_pos,"
     " CAST(0.3 AS DOUBLE) + CAST((doc_id * 13 + j * 29) % 70 AS DOUBLE) / CAST(100 AS DOUBLE) AS score"
-    " FROM {documents} CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE n_chars > 60"
+    " FROM {documents}"
 )
 
 
@@ -111,5 +113,6 @@ def drive_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run_shared(spark, sf_dir, ANNOTATIONS_SQL, "documents")
+    thrice = table(spark, sf_dir, "documents").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = spark.sql(ANNOTATIONS_SQL, documents=thrice)
     return rows.withColumnsRenamed({"start_pos": "start", "end_pos": "end"})

@@ -10,7 +10,11 @@ DOCUMENTS = DOCUMENTS_SQL.format(**_TABLES)
 PAGES = PAGES_SQL.format(**_TABLES)
 CUSTOMERS = CUSTOMER_SQL.format(**_TABLES)
 TREE = TREE_SQL.format(**_TABLES)
-ANNOTATIONS = ANNOTATIONS_SQL.format(**_TABLES)
+ANNOTATIONS = (
+    "SELECT r.doc_id, entity_type, start_pos, CAST(least(end_pos, length(d.text)) AS INT) AS end_pos, score FROM ("
+    + ANNOTATIONS_SQL.format(documents="(SELECT *, unnest([0, 1, 2]) AS j FROM documents) x")
+    + ") r JOIN documents d ON d.doc_id = r.doc_id WHERE start_pos >= 0 AND start_pos < end_pos AND start_pos < length(d.text)"
+)
 
 # RE2 has no look-ahead: the plain shape plus the validity test selects the same social-security numbers.
 _RULES = [

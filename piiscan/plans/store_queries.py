@@ -103,7 +103,7 @@ def stream_to_store(spark, sf):
 
 @register(
     "assemble_long_documents",
-    f"""WITH lines AS (SELECT l_suppkey AS doc, l_orderkey, l_linenumber, 'line ' || l_orderkey || ' of 078-05-1120, call 212-555-' || lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') AS t FROM lineitem),
+    f"""WITH lines AS (SELECT l_suppkey AS doc, l_orderkey, l_linenumber, l_partkey, 'line ' || l_orderkey || ' of 078-05-1120, call 212-555-' || lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') AS t FROM lineitem),
  placed AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc ORDER BY l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lines)
  SELECT doc, 'ssn' AS entity_type, '078-05-1120' AS value, CAST(pos + strpos(t, '078-05-1120') - 1 AS BIGINT) AS start_pos FROM placed
  UNION ALL SELECT doc, 'phone', t[-12:], CAST(pos + length(t) - 12 AS BIGINT) FROM placed""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,7 +86,8 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (``spark.checkpoint.dir``); own temp folder in local mode only."""
+    """The cluster's checkpoint folder (``spark.checkpoint.dir``); own temp folder in local mode only,
+    removed when the process ends."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -94,6 +97,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
         configured = tempfile.mkdtemp(prefix="piiscan-checkpoint-")
+        atexit.register(shutil.rmtree, configured, True)
     context.setCheckpointDir(configured)
     return configured
 

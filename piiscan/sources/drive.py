@@ -65,9 +65,12 @@ def expand_folder(items: DataFrame, folder_id: str) -> DataFrame:
         (~at_start & F.col("_p").isNotNull()).alias("open"),
     )
     state = cut_lineage(state)
+    before = -1
     for _ in range(_MAX_ROUNDS):
-        if state.filter("open").isEmpty():
+        still_open = state.filter("open").count()
+        if not still_open or still_open == before:  # a round that settles no folder has met a cycle
             break
+        before = still_open
         target = state.select(
             F.col("id").alias("up"), F.col("up").alias("_next"), F.col("inside").alias("_in"), F.col("open").alias("_open")
         )
