@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, license_scan, line_dedup, lm_scoring, minhash, packing, quality, secret_scan
+from . import bpe, fingerprints, html_extract, license_scan, line_dedup, lm_scoring, minhash, oracle, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,12 +58,12 @@ def op1_lm(spark, sf):
     return lm_scoring.score_documents(documents(spark, sf))
 
 
-@register("op2_minhash")
+@register("op2_minhash", oracle.NEAR_CLASSES)
 def op2_minhash(spark, sf):
     return minhash.near_classes(documents(spark, sf)).select("doc_id", "class_id", "class_size")
 
 
-@register("op6_quality")
+@register("op6_quality", oracle.quality_sql())
 def op6_quality(spark, sf):
     out = quality.assess(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
