@@ -221,7 +221,6 @@ def place_tail(plan: Plan, length: int, number: int) -> list[tuple[int, int, int
 
 def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
     encoded = encode_tails(docs, vocabulary_path, window, end_id).withColumn("uid", F.monotonically_increasing_id())
     return pack_encoded(stage(encoded, "packing"), window)
 

@@ -82,4 +82,4 @@ def op4_secrets(spark, sf):
 @register("op10_lines")
 def op10_lines(spark, sf):
     out = line_dedup.kept_lines(documents(spark, sf).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
