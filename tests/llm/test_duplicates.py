@@ -194,3 +194,64 @@ def test_line_edges(spark, edge_docs):
     assert rows[5, "b"]["text"] and (6, "b") not in rows and rows[2, "a"]["text"] is None and rows[3, "a"]["text"] == ""
     assert rows[9, "c"]["n_chars"] == len(rows[9, "c"]["text"])
     assert line_dedup.kept_lines(edge_docs.limit(0)).count() == 0
+
+
+def line_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def varied_line(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 10))) for _ in range(n))
+
+
+def test_lines_with_one_word_replaced(spark):
+    """Edit similarity alone decides: of lines of 8 to 60 words with a word replaced, those within the limit fall."""
+    r, pairs = random.Random(5), []
+    for k in range(160):
+        line = varied_line(r, (8, 12, 20, 60)[k % 4])
+        w = line.split()
+        w[r.randrange(len(w))] = varied_line(r, 1)
+        pairs.append((line, " ".join(w)))
+    docs = spark.createDataFrame([(2 * k + i, x) for k, pair in enumerate(pairs) for i, x in enumerate(pair)], "doc_id long, text string")
+    got = {q["doc_id"]: q["n_dropped"] for q in line_dedup.kept_lines(docs).collect()}
+    near = [10 * line_distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
+    found = [got[2 * k + 1] for k in range(len(pairs))]
+    assert sum(near) > 120 and not any(f and not n for f, n in zip(found, near)) and not any(got[2 * k] for k in range(len(pairs)))
+    assert sum(found) >= 0.98 * sum(near)
+
+
+def test_lines_with_scattered_typos(spark):
+    """One character in twenty changed, anywhere; also lines of few words."""
+    r, pairs = random.Random(6), []
+    for k in range(160):
+        line = varied_line(r, (8, 5, 25, 50)[k % 4])
+        x = list(line)
+        for i in r.sample([i for i, c in enumerate(x) if c != " "], len(x) // 20):
+            x[i] = "q" if x[i] != "q" else "z"
+        pairs.append((line, "".join(x)))
+    docs = spark.createDataFrame([(2 * k + i, x) for k, pair in enumerate(pairs) for i, x in enumerate(pair)], "doc_id long, text string")
+    got = {q["doc_id"]: q["n_dropped"] for q in line_dedup.kept_lines(docs).collect()}
+    assert sum(got[2 * k + 1] for k in range(160)) >= 0.95 * 160 and not any(got[2 * k] for k in range(160))
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    """The lines of test_fuzzy_lines_by_brute_force; groups are the components of pairs with edit similarity of 0.9."""
+    base = [" ".join(prose(900 + k, 60).split()) for k in range(12)]
+    lines = [x for k, b in enumerate(base) for x in (b, b[:-1] + "q", b.replace("amber", "amberr"), edited(b, k, 1), edited(b, k + 50, 9))]
+    docs = spark.createDataFrame(list(enumerate(dict.fromkeys(lines))), "doc_id long, text string")
+    plain = docs.select("doc_id", line_dedup.normalised(F.col("text")).alias("plain"))
+    two = plain.select(F.col("doc_id").alias("other"), F.col("plain").alias("q"))
+    near = F.expr("10 * levenshtein(plain, q) <= greatest(length(plain), length(q))")
+    links = plain.crossJoin(two).filter(F.col("doc_id") < F.col("other")).filter(near).select("doc_id", "other").collect()
+    up = list(range(docs.count()))
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.kept_lines(docs).collect()}
+    assert got == {k: int(x != k) for k, x in enumerate(up)}
