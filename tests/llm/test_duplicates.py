@@ -227,10 +227,10 @@ def test_lines_with_one_word_replaced(spark):
 
 
 def test_lines_with_scattered_typos(spark):
-    """One character in twenty changed, anywhere; also lines of few words."""
+    """One character in twenty changed, anywhere; also lines of few words, and of a script without spaces."""
     r, pairs = random.Random(6), []
     for k in range(160):
-        line = varied_line(r, (8, 5, 25, 50)[k % 4])
+        line = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(60)) if k % 4 == 0 else varied_line(r, (5, 5, 25, 50)[k % 4])
         x = list(line)
         for i in r.sample([i for i, c in enumerate(x) if c != " "], len(x) // 20):
             x[i] = "q" if x[i] != "q" else "z"
@@ -255,3 +255,13 @@ def test_lines_by_edit_similarity_alone(spark):
             up[a] = up[b] = min(up[a], up[b])
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.kept_lines(docs).collect()}
     assert got == {k: int(x != k) for k, x in enumerate(up)}
+
+
+def test_lines_without_ascii_words(spark):
+    """Passages of one to four words by ASCII rules are matched too; only short ones are protected."""
+    chinese = "这是一个很长的句子它在许多文件中逐字出现因此应该只保留一次"
+    thai = "ประโยคยาวนี้ปรากฏในเอกสารหลายฉบับจึงควรเก็บไว้เพียงครั้งเดียว"
+    german = "Rindfleischetikettierungsüberwachungsaufgaben übertragungsgesetzgebung"
+    rows = [(k, "\n".join((chinese, thai, german, "short line", "短句"))) for k in range(3)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.kept_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (rows[0][1], 0) and got[1] == got[2] == ("short line\n短句", 3)
