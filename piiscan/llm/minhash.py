@@ -1,9 +1,10 @@
-"""Near duplicates of documents by probability minhashes of weighted word shingles.
+"""Near duplicates of documents by probability minhashes of word shingles.
 
-A document's five-word shingles, weighted by 1 + ln(count), send Poisson arrivals with their weight as rate;
+A document's distinct five-word shingles send Poisson arrivals with their weight as rate;
 each arrival falls on one of m components, and a component keeps the earliest. An element stops as soon as its
 next arrival is later than the latest component (early termination). Two documents agree in a component with
-probability equal to their probability Jaccard similarity. Bands of components give buckets; candidate pairs are
+probability equal to their probability Jaccard similarity. All weights are equal, however often a shingle occurs, which
+makes that the Jaccard similarity of the sets, the one that is verified. Bands of components give buckets; candidate pairs are
 verified by the exact Jaccard similarity of their shingle sets, and connected documents form a class.
 
 Documents with the same words in a row are one node from the start (copies are combined before
@@ -64,16 +65,16 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def shingles(words: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and how often each occurs."""
+def shingles(words: list[str], size: int = SHINGLE) -> np.ndarray:
+    """Distinct shingle hashes."""
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     h = word_hashes(words)
     k = min(size, len(h))
     total = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
         total = mix(total + _GOLD) + h[i : i + len(total)]
-    return np.unique(mix(total), return_counts=True)
+    return np.unique(mix(total))
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
@@ -116,10 +117,10 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHIN
                 if not words:
                     nodes.append(None), sizes.append(0), keys.append([])
                     continue
-                elements, counts = shingles(words, size)
+                elements = shingles(words, size)
                 nodes.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 sizes.append(len(elements))
-                keys.append(band_keys(signature(elements, 1 + np.log(counts), bands * rows), bands, rows))
+                keys.append(band_keys(signature(elements, np.ones(len(elements)), bands * rows), bands, rows))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "node", "n", "bands"],
@@ -135,7 +136,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(_WORD.findall(t.lower()), size)[0].view(np.int64) for t in batch.column("text").to_pylist()]
+            sets = [shingles(_WORD.findall(t.lower()), size).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     text = whole_text()

@@ -64,6 +64,18 @@ def test_classes_equal_brute_force(near_docs):
     assert kept == set(want.values())
 
 
+def test_repeated_passages(spark):
+    """Equal shingle sets, half of which occur a hundred times in one of the texts."""
+    rows = []
+    for k in range(60):
+        once, often = prose(2000 + k, 100), prose(3000 + k, 100)
+        more = " ".join(often.split()[:4])
+        rows += [(2 * k, "\n".join([once, often, more])), (2 * k + 1, "\n".join([once] + [often] * 100 + [more]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert classes_by_brute_force(rows[:4]) == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_classes(docs).collect()} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_signatures_estimate_probability_jaccard():
     r = np.random.default_rng(1)
     elements = r.integers(0, 1 << 63, 600).astype(np.uint64)
