@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import quality
+from . import clustering, quality, topk
 
 #: Classes of near duplicates: exact Jaccard similarity of five-word shingles, components by reachability.
 NEAR_CLASSES = r"""
@@ -57,3 +57,42 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t
  v AS (SELECT *, concat_ws(',', {broken}) AS broken FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM v
 """
+
+
+def _finite(scale: int, size: str = "") -> str:
+    """key, vec_id, e (integer components) of the vectors that take part."""
+    return f"""SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+   FROM embeddings WHERE embedding IS NOT NULL{size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+#: The k best rows for every 20th vector, by all inner products.
+TOP_K = f"""
+WITH v AS ({_finite(topk.SCALE)}),
+ p AS (SELECT q.key, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+   FROM v q JOIN v c ON q.key != c.key WHERE q.vec_id % 20 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id NULLS FIRST) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= {topk.K}
+"""
+
+
+def clusters_sql(clusters: int = clustering.CLUSTERS, rounds: int = clustering.ROUNDS) -> str:
+    """Lloyd's rounds written out, one choice and one move each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT key, arg_min(k, struct_pack(d := d, k := k)) AS k, min(d) AS d FROM (SELECT v.key, c.k,
+   list_sum(list_transform(generate_series(1, {clustering.DIMENSIONS}), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS d FROM v, c{r} c) GROUP BY key)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT k, list(x ORDER BY i) AS e FROM (SELECT k, i, CAST(floor(sum(e[i]) / count(*)) AS BIGINT) AS x
+   FROM (SELECT a{r}.k, v.e, unnest(generate_series(1, {clustering.DIMENSIONS})) AS i FROM a{r} JOIN v USING (key)) GROUP BY k, i) GROUP BY k),
+ c{r + 1} AS (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m USING (k))""")
+    chain = ",\n ".join(steps)
+    return f"""
+WITH v AS ({_finite(clustering.SCALE, f" AND len(embedding) = {clustering.DIMENSIONS}")}),
+ h AS (SELECT e, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, e LIMIT {clusters}),
+ c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e FROM h),
+ {chain},
+ n AS (SELECT k, sum(d) AS cluster_inertia FROM a{rounds} GROUP BY k)
+SELECT v.vec_id, CAST(a.k AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(n.cluster_inertia AS BIGINT) AS cluster_inertia,
+ CAST((SELECT sum(cluster_inertia) FROM n) AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (key) JOIN n USING (k) JOIN c{rounds} c USING (k)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, license_scan, line_dedup, lm_scoring, minhash, oracle, packing, quality, secret_scan
+from . import align, bpe, clustering, fingerprints, html_extract, license_scan, line_dedup, lm_scoring, minhash, oracle, packing, quality, secret_scan, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,20 @@ def op4_secrets(spark, sf):
 def op10_lines(spark, sf):
     out = line_dedup.kept_lines(documents(spark, sf).select("doc_id", "text"))
     return out.select("doc_id", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@register("op11_align")
+def op11_align(spark, sf):
+    import public_tokenizers
+
+    return align.align_tokenizers(documents(spark, sf), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op12_clusters", oracle.clusters_sql())
+def op12_clusters(spark, sf):
+    return clustering.cluster_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@register("op13_topk", oracle.TOP_K)
+def op13_topk(spark, sf):
+    return topk.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("id") % 20 == 0)
