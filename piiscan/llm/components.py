@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+#: Whether two nodes can be linked, from two functions that give their columns by name.
+MayMatch = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b); the label is the smallest node of its component.
@@ -32,35 +34,85 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Nodes of a mixed bucket's commonest class that its other nodes meet, before all that is left is settled.
+CENTRES = 4
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's centre with its other nodes."""
+    return members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def link_buckets(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    may_match: MayMatch,
+    cross_pairs: Callable[[DataFrame], DataFrame],
+    stars: Callable[[DataFrame], DataFrame] = star_pairs,
+) -> DataFrame:
     """(node, label) of the nodes linked to another one.
 
-    members: (bucket, node, size, centre), the centre being the bucket's smallest node. ``verify`` takes pairs
-    (a, b) and returns the true links among them.
+    members: (bucket, node, centre, and what may_match and cross_pairs read), the centre being the bucket's smallest node. ``verify`` takes
+    pairs (a, b) and returns the true links among them; ``may_match`` and ``stars`` leave out pairs that can't be links.
 
-    Every node is first paired with its centre, one pair per node and bucket however large the bucket. Buckets that are
-    not all of one component after that go, with the labels so far, to ``cross_pairs``: (bucket, node, size, label) to all
-    pairs of different components that may be links. Links inside a component would not change it.
+    Every node is first paired with its centre, one pair per node and bucket however large the bucket. In buckets that are
+    not all of one component after that, the nodes outside the commonest component are paired with a few nodes inside it, so that
+    large groups without a middle grow together. What is still mixed goes, with the labels so far, to
+    ``cross_pairs``: (bucket, node, ..., label, common) to all pairs of different components that may be links. Links inside a
+    component would not change it.
     """
-    stars = stage(members.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = stage(verify(stars).select("a", "b"), "links")
+    tried = stage(stars(members), "pairs")
+    links = stage(verify(tried).select("a", "b"), "links")
     labels = connected(links)
-    placed = members.select("bucket", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    open_ = stage(placed.join(mixed, "bucket"), "mixed")
-    rest = cross_pairs(open_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = mixed_buckets(members, labels)
+    again = ordered_pairs(centre_pairs(open_, may_match)).join(tried, ["a", "b"], "left_anti")
+    again = stage(again, "pairs")
+    if not again.isEmpty():
+        tried = tried.union(again)
+        links = stage(links.union(verify(again).select("a", "b")), "links")
+        labels = connected(links)
+        open_ = mixed_buckets(members, labels)
+    rest = ordered_pairs(cross_pairs(open_)).join(tried, ["a", "b"], "left_anti")
     more = stage(verify(rest).select("a", "b"), "links")
     return labels if more.isEmpty() else connected(links.union(more))
 
 
-def pairs_across(rows: DataFrame, may_match: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs (a, b) of rows (bucket, node, size, label) that share a bucket and differ in label.
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members with their label and common (the bucket's commonest label), of the buckets with several labels."""
+    placed = members.drop("centre").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return stage(with_common(placed), "mixed")
+
+
+def with_common(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, label, ...) of buckets with several labels, with the commonest one."""
+    counts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    common = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels"))
+    return rows.join(common.filter("labels > 1").drop("labels"), "bucket")
+
+
+def centre_pairs(open_: DataFrame, may_match: MayMatch) -> DataFrame:
+    """Pairs (a, b) of the nodes outside a bucket's commonest component with a few of those inside, picked by hash."""
+    facts = F.struct(*[c for c in open_.columns if c not in ("bucket", "label", "common")])
+    picks = F.array_distinct(F.array(*[F.min_by(facts, F.xxhash64("node", F.lit(k))) for k in range(CENTRES)]))
+    centres = open_.filter("label = common").groupBy("bucket").agg(picks.alias("centres"))
+    met = open_.filter("label != common").select("bucket", facts.alias("b")).join(centres, "bucket").select(F.explode("centres").alias("a"), "b")
+    of = lambda s: lambda c: F.col(f"{s}.{c}")
+    return met.filter(may_match(of("a"), of("b"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
+def pairs_across(rows: DataFrame, may_match: MayMatch) -> DataFrame:
+    """Pairs (a, b) of rows (bucket, node, label, common, and what may_match reads) that share a bucket and differ in label.
 
     One side leaves out each bucket's commonest label, so a large component isn't paired with itself.
     """
-    counts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    common = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels")).filter("labels > 1")
-    rows = rows.join(common, "bucket")
-    one = rows.filter("label != common").select("bucket", F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-    two = rows.select("bucket", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-    return one.join(two, "bucket").filter((F.col("la") != F.col("lb")) & may_match(F.col("na"), F.col("nb"))).select("a", "b")
+    side = lambda s: rows.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c != "bucket"])
+    one, two = side("a").filter("a_label != a_common"), side("b")
+    of = lambda s: lambda c: F.col(f"{s}_{c}")
+    # two nodes outside the commonest label meet twice otherwise
+    once = (F.col("b_label") == F.col("b_common")) | (F.col("a_node") < F.col("b_node"))
+    met = one.join(two, "bucket").filter((F.col("a_label") != F.col("b_label")) & once & may_match(of("a"), of("b")))
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))

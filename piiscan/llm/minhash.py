@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import small_side
 from .common import bound_arrow_batches, carried, restored, stage, whole_text
-from .components import link_buckets, pairs_across
+from .components import link_buckets, pairs_across, with_common
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8^6)^24 = 0.9993.
@@ -162,24 +162,33 @@ def node_labels(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("text_key", "node")
     sets = stage(shingle_sets(docs, stage(wanted, "wanted")), "shingles")
 
-    return link_buckets(members, lambda pairs: verify(pairs, sets, threshold), lambda open_: prefix_pairs(open_, sets, threshold))
+    def sizes_fit(a, b):
+        return (a("size") >= threshold * b("size")) & (b("size") >= threshold * a("size"))
+
+    return link_buckets(members, lambda pairs: verify(pairs, sets, threshold), sizes_fit, lambda open_: prefix_pairs(open_, sets, threshold))
 
 
 def prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes with different labels that can reach the threshold, by prefix filtering.
+    """Pairs of nodes with different labels that can reach the threshold, by prefix and place filtering.
 
     With shingles ordered from the rarest on, two sets of Jaccard similarity t share one among the first
-    n - ceil(t n) + 1 of each. Texts with many edits of their own begin with shingles nobody else has, so they meet nothing.
+    n - ceil(t n) + 1 of each, and after the first one shared both have enough left for the overlap that t asks. Texts with many
+    edits of their own begin with shingles nobody else has, so they meet nothing.
     """
     nodes = open_.select("node", "label").distinct()
     rows = nodes.join(sets, "node").select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("bucket"))
     rows = stage(rows, "open-shingles")
-    common = rows.groupBy("bucket").agg(F.count("*").alias("uses"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    uses = rows.groupBy("bucket").agg(F.count("*").alias("uses"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("uses", "bucket"))
     prefix = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
-    first = rows.join(common, "bucket").withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("lo") != F.col("hi")))
-    first = stage(first.select("bucket", "node", "size", "label"), "prefixes")
-    return pairs_across(first, lambda a, b: (a >= threshold * b) & (b >= threshold * a))
+    first = rows.join(uses, "bucket").withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("lo") != F.col("hi")))
+    first = stage(with_common(first.select("bucket", "node", "size", "label", "rank")), "prefixes")
+
+    def may_match(a, b):
+        overlap = F.ceil(threshold / (1 + threshold) * (a("size") + b("size")) - 1e-9)
+        return F.least(a("size") - a("rank"), b("size") - b("rank")) + 1 >= overlap
+
+    return pairs_across(first, may_match)
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
