@@ -179,8 +179,8 @@ def scan_written_files(spark, sf):
 
 @register("mapping_checked", "SELECT true AS has_label_mappings, CAST(0 AS BIGINT) AS skipped")
 def mapping_checked(spark, sf):
-    names = F.element_at(F.array(*[F.lit(x) for x in ("Highly Confidential", "confidential", "Internal", "Public")]), F.col("r_regionkey").cast("int") % 4 + 1)
-    labels = dv.table(spark, sf, "region").select(F.concat(F.lit("id"), F.col("r_regionkey").cast("string")).alias("id"), names.alias("name"))
+    names = F.element_at(F.array(*[F.lit(x) for x in ("Highly Confidential", "confidential", "Internal", "Public")]), F.col("p_partkey").cast("int") % 4 + 1)
+    labels = dv.table(spark, sf, "part").select(F.concat(F.lit("id"), F.col("p_partkey").cast("string")).alias("id"), names.alias("name"))
     return mapping_checks(auto_map(spark, labels))
 
 

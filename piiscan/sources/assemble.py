@@ -12,6 +12,8 @@ from ..operators.patterns import PatternSpec
 
 #: Characters of a segment of a long document.
 SEGMENT_CHARS = 4 * 1024 * 1024
+#: Characters behind a segment that it also holds; longer findings across a border may be cut.
+OVERLAP_CHARS = 1024
 
 
 def _strip(text: Column) -> Column:
@@ -51,25 +53,32 @@ def _assemble(
     )
 
 
-def segments(pieces: DataFrame, keys: list[str], order: list[str], separator: str = "\n", chars: int = SEGMENT_CHARS) -> DataFrame:
+def segments(
+    pieces: DataFrame, keys: list[str], order: list[str], separator: str = "\n", chars: int = SEGMENT_CHARS, overlap: int = OVERLAP_CHARS
+) -> DataFrame:
     """(keys, segment, base_offset, text) of documents of any length.
 
     A running length, streamed in order, numbers the pieces; a segment holds the pieces that begin in its stretch of
-    ``chars`` characters, and the first piece of the next one, so that a finding across their border is seen whole. ``base_offset``
-    is where the segment begins in the whole document. Only a segment's pieces come together in one task.
+    ``chars`` characters, and of those behind it all that begin within ``overlap`` characters of its end, so that a finding across the
+    border is seen whole however many pieces it spans (up to that length). ``base_offset`` is where the segment begins in the whole
+    document. The running length needs a document's pieces in one sorted stream, which spills; only a segment's pieces are held together.
     """
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.filter(F.col("piece").isNotNull()).withColumn(
         "_at", F.coalesce(F.sum(F.length("piece") + len(separator)).over(before), F.lit(0)).cast("long")
     )
-    own = F.floor(F.col("_at") / chars).cast("long")
-    previous = F.lag(own).over(Window.partitionBy(*keys).orderBy(*order))
-    parts = placed.withColumn("_own", own).withColumn("_lent", F.when(previous < own, previous))
-    parts = parts.select("*", F.explode(F.array_compact(F.array("_own", "_lent"))).alias("segment"))
+    placed = placed.withColumn("_own", F.floor(F.col("_at") / chars).cast("long"))
+    # the segment that the piece ``overlap`` characters before is in, and all after it, end near enough
+    reach = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -overlap)
+    nearest = Window.partitionBy(*keys).orderBy("_at").rowsBetween(-1, -1)
+    first = F.least(F.coalesce(F.max("_own").over(reach), F.lit(0)), F.coalesce(F.max("_own").over(nearest), F.lit(0)))
+    parts = placed.withColumn("_from", first).select("*", F.explode(F.sequence("_from", "_own")).alias("segment"))
     packed = F.sort_array(F.collect_list(F.struct("_at", *order, "piece")))
-    return parts.groupBy(*keys, "segment").agg(
-        F.min("_at").alias("base_offset"), F.array_join(F.transform(packed, lambda p: p["piece"]), separator).alias("text")
-    )
+    held = parts.groupBy(*keys, "segment").agg(
+        F.min("_at").alias("base_offset"), F.array_join(F.transform(packed, lambda p: p["piece"]), separator).alias("text"),
+        F.bool_or(F.col("_own") == F.col("segment")).alias("_has_own"),
+    )
+    return held.filter("_has_own").drop("_has_own")
 
 
 def findings_of_segments(parts: DataFrame, keys: list[str], patterns: list[PatternSpec] | None = None) -> DataFrame:

@@ -147,5 +147,20 @@ def test_segments_equal_the_whole(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, one))
 
 
+def test_segments_see_findings_over_many_pieces(spark):
+    """Phone numbers broken over three and more short pieces, long pieces that skip segments, and borders everywhere."""
+    texts = []
+    for k in range(60):
+        texts += ["call", "212", "555", f"{1000 + k}", "", "x" * (k * 37 % 300), "078", "05", "1120"]
+    whole = "\n".join(texts)
+    pieces = spark.createDataFrame([("d", k, t) for k, t in enumerate(texts)], "doc string, k int, piece string")
+    one = explode_findings(docs(spark, ("d", whole)).select(detect(F.col("text")).alias("matches"))).select("start", "end", "entity_type", "value").collect()
+    assert len(one) > 60 and any("\n" in r["value"] for r in one)
+    for chars, overlap in ((40, 30), (200, 64), (1000, 1024)):
+        parts = assemble.segments(pieces, ["doc"], ["k"], chars=chars, overlap=overlap)
+        got = assemble.findings_of_segments(parts, ["doc"]).select("start", "end", "entity_type", "value").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, one))
+
+
 def test_rules_have_linear_patterns():
     assert EMAIL.scan and all(p.scan is None for p in DEFAULT_PATTERNS if p is not EMAIL)
