@@ -1,19 +1,23 @@
 r"""Secrets in texts: fixed patterns, and tokens that pass a battery of randomness tests.
 
 Base kinds (assign, access, hex) are found leftmost and non-overlapping, and short ones dropped. Further candidates are
-runs of base64 characters of at least ``MIN_TOKEN`` that mix letters and digits and overlap no base span.
-
-Battery. The smallest alphabet that holds a token's characters is its inferred encoding (digits and one case of
-hex letters, base32, one case of letters with digits, letters with digits, base64). Under it three tests ask whether the token could be
-uniformly random: chi-squared of the character counts (with its exact mean and variance for the length), the number
-of runs above and below the middle of the alphabet, and the serial correlation of neighbouring characters. The
-smallest of the three p-values, times three, is the token's p-value.
-
-Control of false discoveries. A long word is not random but may pass. Runs of letters only (decoys) go through the
-same tests; in each band of lengths the share of decoys above a p-value tells how many candidates would pass by
-chance, and the lowest p-value is taken at which (decoys + 1) / candidates is at most ``FDR``. Base hits that are whole
-tokens count as candidates, so the rate refers to all tokens reported. Bands keep short tokens, on which
-the tests have little power, from borrowing the trust of long ones.
+runs of base64 characters of at least ``MIN_TOKEN`` with a letter or digit that overlap no base span, letters-only and
+digits-only ones included.
+
+Battery. The smallest alphabet that holds a token's characters is its inferred encoding (digits, one case of hex, of
+letters, base32, one case of letters with digits, both cases, both with digits, base64). Under it three tests ask whether
+the token could be uniformly random: chi-squared of the character counts (with its exact mean and variance for the
+length), the number of runs above and below the middle of the alphabet, and the serial correlation of neighbouring
+characters. The smallest of the three p-values, times three, is the token's p-value.
+
+Control of false discoveries. A written token isn't random but may pass. For every candidate ``DECOYS`` tokens of its
+length and form are made up: words of its text (those of ``STOCK`` behind them, if there are few) run together in its
+letter case, joined by its own sign if it has one, its digits behind them; for digits-only tokens, numbers of the
+text. They go through the same tests. Per form of alphabet and band of lengths, the share of made-up tokens above a
+p-value tells how many of the candidates would pass if all were written; the lowest p-value is taken at which that
+is at most ``FDR`` of those that pass. No real token counts as false, so many random keys in one source raise
+no limit. Where the tests can't tell words from keys (short tokens of one case), or numbers from keys, or nothing is
+there to compare with, nothing is reported. Base hits that are whole tokens count as candidates.
 
 Built-in functions only. Whole texts, null as empty: no spans. Offsets are code points, ends exclusive. Rows are
 independent but for the thresholds, so ties and repeated rows get equal results. Only ``doc_id`` and ``text`` are read.
@@ -21,7 +25,7 @@ independent but for the thresholds, so ties and repeated rows get equal results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import empty_array, let, lower_bound, running_sum
@@ -36,24 +40,40 @@ BASE = (
 )
 MIN_TOKEN = 16
 TOKEN = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN
-#: Alphabets in the order in which they are tried.
+#: A word, and a number, that made-up tokens are put together from; shorter than a candidate, and no part of one.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,%d}(?![A-Za-z0-9+/_=-])" % (MIN_TOKEN - 1)
+NUMBER = r"(?<![A-Za-z0-9+/_=-])[0-9]{2,%d}(?![A-Za-z0-9+/_=-])" % (MIN_TOKEN - 1)
+#: Words for texts with few of their own.
+STOCK = (
+    "the and that with from this have about which their would other people because between after never house water place "
+    "und nicht auch eine werden haben kann durch noch immer pour dans avec vous nous cette entre toujours monde "
+    "que para como pero cuando tiempo siempre todos desde mundo"
+).split()
+DECOYS = 4
+DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Encodings in the order in which they are tried: name, alphabet, form. Limits are found per form and length band.
 ALPHABETS = (
-    ("hex", "0123456789abcdef"),
-    ("HEX", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"),
+    ("decimal", DIGITS, 0),
+    ("hex", "0123456789abcdef", 2),
+    ("HEX", "0123456789ABCDEF", 2),
+    ("base26", LOWER, 1),
+    ("BASE26", UPPER, 1),
+    ("base32", UPPER + "234567", 2),
+    ("base36", DIGITS + LOWER, 2),
+    ("BASE36", DIGITS + UPPER, 2),
+    ("base52", UPPER + LOWER, 3),
+    ("base62", DIGITS + UPPER + LOWER, 4),
+    ("base64", DIGITS + UPPER + LOWER + "+/_-", 5),
 )
 #: Length bands: lower ends.
 BANDS = (16, 24, 32, 48, 96)
+STRATA = len(BANDS) * (1 + max(form for *_, form in ALPHABETS))
 FDR = 0.1
 #: p-values are compared by -4 log10 p, in whole steps; beyond the last step nothing is reported.
 STEPS = 24
 
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
-PIECE = "struct<start:int,end:int,band:int,decoy:boolean,step:int,free:boolean,encoding:string>"
+CANDIDATE = "struct<body:string,start:int,end:int,decoy:boolean,free:boolean>"
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
@@ -148,37 +168,84 @@ def p_value(values: Column, size: Column) -> Column:
     return let(values, tests)
 
 
+def written_tokens(body: Column, place: Column, words: Column, numbers: Column) -> Column:
+    """Made-up tokens in the form of one: its length, letter case, sign and digits, but written words (or numbers)."""
+    digits, sign = F.regexp_replace(body, "[^0-9]", ""), F.substring(F.regexp_replace(body, "[A-Za-z0-9]", ""), 1, 1)
+    upper, lower = body.rlike("[A-Z]"), body.rlike("[a-z]")
+
+    def stretch(stock: Column, least: int, number: Column) -> Column:
+        """Neighbours from a place that follows from the token's and the made-up one's number; a short stock is repeated."""
+        wanted = F.ceil(F.length(body) / least).cast("int")
+        times = F.ceil(wanted / F.size(stock)).cast("int")
+        enough = F.when(F.size(stock) >= wanted, stock).when(F.size(stock) > 0, F.flatten(F.array_repeat(stock, times))).otherwise(stock)
+        first = lambda all_: F.pmod(F.xxhash64(place, number), F.greatest(F.size(all_) - wanted + 1, F.lit(1))).cast("int") + 1
+        return let(enough, lambda all_: F.slice(all_, first(all_), wanted))
+
+    def joined(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda w, i: F.concat(F.when(i > 0, sign).otherwise(F.lit("")), w)), "")
+
+    def spelled(number: Column) -> Column:
+        cased = F.transform(stretch(words, 3, number), lambda w: F.when(upper & lower, F.initcap(w)).when(upper, F.upper(w)).otherwise(F.lower(w)))
+        text = F.concat(F.substring(joined(cased), F.lit(1), F.length(body) - F.length(digits)), digits)
+        return F.when(upper | lower, text).otherwise(F.substring(joined(stretch(numbers, 2, number)), F.lit(1), F.length(body)))
+
+    made = F.transform(F.sequence(F.lit(1), F.lit(DECOYS)), spelled)
+    return F.filter(made, lambda d: F.length(d) >= MIN_TOKEN)
+
+
+def judged(candidate: Column) -> Column:
+    """A candidate's encoding, stratum (form and length band) and p-value step."""
+    body = candidate["body"]
+    letters = F.array(*[F.lit(a) for _, a, _ in ALPHABETS])
+    sizes = F.array(*[F.lit(min(64, len(a))) for _, a, _ in ALPHABETS])
+    forms = F.array(*[F.lit(f) for *_, f in ALPHABETS])
+    band = F.size(F.filter(F.array(*[F.lit(b) for b in BANDS]), lambda b: b <= F.length(body))) - 1
+    which = F.coalesce(*[F.when(body.rlike(f"^[{a}]+$"), i) for i, (_, a, _) in enumerate(ALPHABETS)])
+
+    def under(k: Column) -> Column:
+        # base64 has two spellings of its last two places
+        spot = lambda x: let(F.instr(F.get(letters, k), x) - 1, lambda at: F.when(at >= 64, at - 2).otherwise(at))
+        p = p_value(F.transform(F.split(body, ""), spot), F.get(sizes, k))
+        return F.struct(
+            candidate["start"].alias("start"),
+            candidate["end"].alias("end"),
+            (F.get(forms, k) * len(BANDS) + band).alias("stratum"),
+            candidate["decoy"].alias("decoy"),
+            F.least(F.lit(STEPS + 1), F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-9)))).cast("int")).alias("step"),
+            candidate["free"].alias("free"),
+            F.get(F.array(*[F.lit(n) for n, *_ in ALPHABETS]), k).alias("encoding"),
+        )
+
+    return let(which, under)
+
+
 def tested_tokens(text: Column, spans: Column) -> Column:
-    """Candidates and decoys with their length band and p-value step; free: overlaps no base span."""
-    names, sizes, letters = F.array(*[F.lit(n) for n, _ in ALPHABETS]), F.array(*[F.lit(min(64, len(a))) for _, a in ALPHABETS]), F.array(*[F.lit(a) for _, a in ALPHABETS])
+    """Candidates and tokens made up for them, with their stratum and p-value step; free: overlaps no base span."""
     assigned = F.filter(spans, lambda s: s["kind"] == "assign")
 
-    def token(t: Column, held: Column) -> Column:
-        body = F.rtrim(t["value"], F.lit("="))
-        decoy = ~body.rlike("[0-9]")
-
-        def judged(c: Column) -> Column:
-            # a decoy of one case is held against base36, its digits unused; of both cases against base62
-            which = F.coalesce(*[F.when(body.rlike(f"^[{a}]+$"), i) for i, (_, a) in enumerate(ALPHABETS)])
-            return let(which, lambda k: F.struct(
-                t["start"].alias("start"),
-                t["end"].alias("end"),
-                (F.size(F.filter(F.array(*[F.lit(b) for b in BANDS]), lambda b: b <= F.length(body))) - 1).alias("band"),
-                decoy.alias("decoy"),
-                F.least(F.lit(STEPS + 1), F.floor(-4 * F.log10(F.greatest(
-                    p_value(F.transform(F.split(body, ""), lambda x: F.when(F.get(letters, k) == ALPHABETS[-1][1], F.pmod(F.instr(F.get(letters, k), x) - 1, F.lit(64))).otherwise(F.instr(F.get(letters, k), x) - 1)), F.get(sizes, k)),
-                    F.lit(1e-9)))).cast("int")).alias("step"),
-                (~body.rlike(r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}") & ~c).alias("free"),
-                F.get(names, k).alias("encoding"),
-            ))
-
-        # the first assignment that ends behind the token's start, if it begins before the token's end
-        at = lower_bound(held["ends"], t["start"] + 1)
-        return let(F.coalesce(F.get(held["starts"], at) < t["end"], F.lit(False)), judged)
-
-    wanted = F.filter(located(text, TOKEN), lambda t: F.rtrim(t["value"], F.lit("=")).rlike("^[A-Za-z]+$|[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"))
-    held = F.struct(F.transform(assigned, lambda s: s["start"]).alias("starts"), F.transform(assigned, lambda s: s["end"]).alias("ends"))
-    return let(held, lambda h: F.transform(wanted, lambda t: token(t, h)))
+    def with_decoys(found: Column, held: Column) -> Column:
+        def of(t: Column, place: Column) -> Column:
+            body = F.rtrim(t["value"], F.lit("="))
+            # the first assignment that ends behind the token's start, if it begins before the token's end
+            assignment = F.coalesce(F.get(held["starts"], lower_bound(held["ends"], t["start"] + 1)) < t["end"], F.lit(False))
+            free = ~body.rlike(r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}") & ~assignment
+            as_piece = lambda value, start, end, decoy, ok: F.struct(
+                value.alias("body"), start.alias("start"), end.alias("end"), F.lit(decoy).alias("decoy"), ok.alias("free"))
+            own = F.array(as_piece(body, t["start"], t["end"], False, free))
+            made = F.transform(written_tokens(body, place, held["words"], held["numbers"]), lambda d: as_piece(d, F.lit(0), F.lit(0), True, F.lit(False)))
+            return F.concat(own.cast(f"array<{CANDIDATE}>"), made.cast(f"array<{CANDIDATE}>"))
+
+        return F.flatten(F.transform(found, of))
+
+    wanted = F.filter(located(text, TOKEN), lambda t: t["value"].rlike("[A-Za-z0-9]"))
+    held = F.struct(
+        F.transform(assigned, lambda s: s["start"]).alias("starts"),
+        F.transform(assigned, lambda s: s["end"]).alias("ends"),
+        F.concat(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array(*[F.lit(w) for w in STOCK])).alias("words"),
+        F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)).alias("numbers"),
+    )
+    found = let(wanted, lambda w: F.when(F.size(w) > 0, let(held, lambda h: with_decoys(w, h))).otherwise(empty_array(CANDIDATE)))
+    return F.transform(found, judged)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -192,13 +259,18 @@ def _scan(frame: DataFrame) -> DataFrame:
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
-    """(band, limit): tokens of the band whose step is at most the limit are reported. At most one row per band."""
-    tokens = scanned.select(F.inline("tokens")).filter(f"step <= {STEPS}")
-    hist = tokens.groupBy("band", "step").agg(F.count(F.when(~F.col("decoy"), 1)).alias("targets"), F.count(F.when(F.col("decoy"), 1)).alias("decoys"))
-    grid = hist.select("band", F.explode(F.sequence(F.col("step"), F.lit(STEPS))).alias("limit"), "targets", "decoys")
-    sums = grid.groupBy("band", "limit").agg(F.sum("targets").alias("targets"), F.sum("decoys").alias("decoys"))
-    fine = sums.filter((F.col("decoys") + 1) <= fdr * F.col("targets"))
-    return fine.groupBy("band").agg(F.max("limit").alias("limit"))
+    """(stratum, limit): tokens of the stratum whose step is at most the limit are reported. At most one row per stratum.
+
+    All made-up tokens being written, their share that passes (one more counted) times the candidates bounds the false ones.
+    """
+    hist = scanned.select(F.inline("tokens")).groupBy("stratum", "step").agg(
+        F.count(F.when(~F.col("decoy"), 1)).alias("targets"), F.count(F.when(F.col("decoy"), 1)).alias("decoys"))
+    grid = hist.select("stratum", F.explode(F.sequence(F.col("step"), F.lit(STEPS + 1))).alias("limit"), "targets", "decoys")
+    sums = grid.groupBy("stratum", "limit").agg(F.sum("targets").alias("targets"), F.sum("decoys").alias("decoys"))
+    whole = Window.partitionBy("stratum")  # a few hundred rows of totals
+    sums = sums.withColumn("all_targets", F.max("targets").over(whole)).withColumn("all_decoys", F.max("decoys").over(whole))
+    fine = sums.filter((F.col("limit") <= STEPS) & ((F.col("decoys") + 1) * F.col("all_targets") <= fdr * F.col("targets") * (F.col("all_decoys") + 1)))
+    return fine.groupBy("stratum").agg(F.max("limit").alias("limit"))
 
 
 def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -207,9 +279,9 @@ def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
 
 def _report(scanned: DataFrame, fdr: float) -> DataFrame:
-    limits = {r["band"]: r["limit"] for r in thresholds(scanned, fdr).collect()}  # one row per band at most
-    by_band = F.array(*[F.lit(limits.get(b, -1)) for b in range(len(BANDS))])
-    random = F.filter("tokens", lambda t: ~t["decoy"] & t["free"] & (t["step"] <= F.get(by_band, t["band"])))
+    limits = {r["stratum"]: r["limit"] for r in thresholds(scanned, fdr).collect()}  # one row per stratum at most
+    by_stratum = F.array(*[F.lit(limits.get(k, -1)) for k in range(STRATA)])
+    random = F.filter("tokens", lambda t: ~t["decoy"] & t["free"] & (t["step"] <= F.get(by_stratum, t["stratum"])))
     random = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("ord"), t["end"].alias("end"), F.lit("random").alias("kind")))
     return scanned.withColumn("spans", F.array_sort(F.concat("base", random))).drop("tokens", "base")
 
