@@ -111,22 +111,29 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of_kind(order, *rule) for order, rule in enumerate(BASE)]))
 
 
-def _tail(z: Column, two_sided: bool) -> Column:
+def _tail(value: Column, two_sided: bool) -> Column:
     """Upper tail of the standard normal, by a rational approximation with error below 1.2e-7 relative."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + x / 2)
-    poly = F.lit(0.17087277)
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
-        poly = F.lit(c) + t * poly
-    erfc = t * F.exp(-x * x - 1.26551223 + t * poly)
-    return erfc if two_sided else F.when(z >= 0, erfc / 2).otherwise(1 - erfc / 2)
+
+    def erfc(x: Column, t: Column) -> Column:
+        poly = F.lit(0.17087277)
+        for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
+            poly = F.lit(c) + t * poly
+        return t * F.exp(-x * x - 1.26551223 + t * poly)
+
+    def tail(z: Column) -> Column:
+        at_least = let(F.abs(z) / 2**0.5, lambda x: let(1 / (1 + x / 2), lambda t: erfc(x, t)))
+        return at_least if two_sided else let(at_least, lambda e: F.when(z >= 0, e / 2).otherwise(1 - e / 2))
+
+    return let(value, tail)
 
 
 def p_value(values: Column, size: Column) -> Column:
     """Smallest of three p-values, times three, that an array of alphabet places is uniformly random."""
-    n = F.size(values).cast("double")
 
     def tests(v: Column) -> Column:
+        return let(F.size(v).cast("double"), lambda n: of_length(v, n))
+
+    def of_length(v: Column, n: Column) -> Column:
         squares = F.aggregate(
             F.array_sort(v),
             F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("total")),
@@ -152,16 +159,19 @@ def p_value(values: Column, size: Column) -> Column:
 
         def combine(s: Column) -> Column:
             chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-            low = n - s["high"]
-            mean = 2 * s["high"] * low / n + 1
-            spread = (mean - 1) * (mean - 2) / (n - 1)
-            runs = F.when(spread > 0, (s["runs"] - mean) / F.sqrt(spread)).otherwise(F.lit(9.0))
-            ends = F.get(v, F.lit(0)) + F.get(v, F.size(v) - 1)
-            m = s["s"] / n
-            variance = s["ss"] / n - m * m
-            covariance = (s["sp"] - m * (2 * s["s"] - ends) + (n - 1) * m * m) / (n - 1)
-            serial = F.when(variance > 1e-9, covariance / variance * F.sqrt(n)).otherwise(F.lit(9.0))
-            return F.least(F.lit(1.0), 3 * F.least(_tail(chi, False), _tail(runs, True), _tail(serial, True)))
+            expected = 2 * s["high"] * (n - s["high"]) / n + 1
+
+            def by_runs(mean: Column) -> Column:
+                spread = (mean - 1) * (mean - 2) / (n - 1)
+                return F.when(spread > 0, (s["runs"] - mean) / F.sqrt(spread)).otherwise(F.lit(9.0))
+
+            def by_neighbours(m: Column) -> Column:
+                ends = F.get(v, F.lit(0)) + F.get(v, F.size(v) - 1)
+                covariance = (s["sp"] - m * (2 * s["s"] - ends) + (n - 1) * m * m) / (n - 1)
+                return let(s["ss"] / n - m * m, lambda variance: F.when(variance > 1e-9, covariance / variance * F.sqrt(n)).otherwise(F.lit(9.0)))
+
+            tails = _tail(chi, False), _tail(let(expected, by_runs), True), _tail(let(s["s"] / n, by_neighbours), True)
+            return F.least(F.lit(1.0), 3 * F.least(*tails))
 
         return let(sums, combine)
 
