@@ -111,6 +111,46 @@ def test_random_tokens_are_told_from_words(spark):
     assert sum(got[k] for k in range(60, 180)) <= 6
 
 
+def p_by_brute_force(v, size):
+    n, mid = len(v), [2 * x >= size for x in v]
+    tail = lambda z: math.erfc(z / 2**0.5) / 2
+    chi = (size / n * sum(v.count(x) ** 2 for x in set(v)) - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    runs, mean = 1 + sum(a != b for a, b in zip(mid, mid[1:])), 2 * sum(mid) * (n - sum(mid)) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    m = sum(v) / n
+    variance = sum(x * x for x in v) / n - m * m
+    serial = sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / (n - 1) / variance * n**0.5 if variance > 1e-9 else 9.0
+    return min(1.0, 3 * min(tail(chi), 2 * tail(abs((runs - mean) / spread**0.5 if spread > 0 else 9.0)), 2 * tail(abs(serial))))
+
+
+def test_p_values_by_brute_force(spark):
+    r = random.Random(9)
+    rows = [([r.randrange(r.choice([3, 16, 62])) for _ in range(r.choice([16, 25, 80]))], 62) for _ in range(60)] + [([5] * 20, 16), ([0, 15] * 10, 16)]
+    got = spark.createDataFrame(rows, "v array<int>, size int").coalesce(1).select("v", "size", secret_scan.p_value(F.col("v"), F.col("size")).alias("p")).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        assert row["p"] == pytest.approx(p_by_brute_force(row["v"], row["size"]), rel=1e-5, abs=1e-12)
+
+
+def test_keys_of_letters_alone_are_found_and_limit_no_others(spark):
+    r = random.Random(5)
+    letters, b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    # a hot source of letters-only keys, other keys, identifiers, long lower-case words, digits without numbers to hold them against
+    values = ["".join(r.choice(letters) for _ in range(28)) for _ in range(120)] + ["".join(r.choice(b62) for _ in range(28)) for _ in range(40)]
+    values += ["".join(w.title() for w in prose(900 + k, 5).split())[:28] for k in range(60)]
+    values += ["".join(prose(500 + k, 5).split())[:28] for k in range(60)] + ["".join(r.choice("0123456789") for _ in range(20)) for _ in range(10)]
+    docs = spark.createDataFrame([(k, f"{prose(k, 30)} {x} {prose(k + 1, 9)}") for k, x in enumerate(values)], "doc_id long, text string").coalesce(1)
+    found = {q["doc_id"]: q["spans"] for q in secret_scan.summary(secret_scan.find_secrets(docs)).collect()}
+    hit = lambda a, b: sum("random" in found[k] for k in range(a, b))
+    assert hit(0, 120) >= 108 and hit(120, 160) >= 28
+    alone = {q["doc_id"]: q["spans"] for q in secret_scan.summary(secret_scan.find_secrets(docs.filter("doc_id >= 120"))).collect()}
+    assert all(alone[k] == found[k] for k in range(120, 160))  # the hot source raises no limit
+    assert hit(160, 280) <= 16 and hit(280, 290) == 0  # a tenth of the finds
+    text = docs.filter("doc_id = 0").first()["text"]
+    start = text.index(values[0])
+    assert found[0] in ("", f"random:{start}:{start + 28}")
+
+
 def test_masking(spark):
     docs = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secret_scan.mask_documents(docs, "[x]").collect()}
