@@ -1198,8 +1198,7 @@ def encryption_round_trip(spark, sf):
 
 
 def _document_stream(spark, sf):
-    schema = dv.table(spark, sf, "documents").schema
-    docs = inc.stream_documents(spark, sf, schema, "documents.parquet")
+    docs = inc.stream_table(spark, f"{sf}/documents.parquet", dv.table(spark, sf, "documents").schema)
     return docs.select(
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text"
     )

@@ -22,6 +22,18 @@ def stream_documents(spark: SparkSession, path: str, schema, glob: str = "*.parq
     return reader.parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream.
+
+    A stream takes a plain path for a folder's; a pattern, here one that only this path fits, may name either.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def scan_stream(docs: DataFrame, path_col: str = "path", text_col: str = "text", patterns: list[PatternSpec] | None = None) -> DataFrame:
     """File results of a stream: stateless, one narrow stage per micro-batch."""
     return scan_documents(docs, path_col, text_col, patterns)

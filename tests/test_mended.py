@@ -164,3 +164,19 @@ def test_segments_see_findings_over_many_pieces(spark):
 
 def test_rules_have_linear_patterns():
     assert EMAIL.scan and all(p.scan is None for p in DEFAULT_PATTERNS if p is not EMAIL)
+
+
+def test_tables_in_folders_are_streamed_whole(spark, tmp_path):
+    """A table as one file and as a folder of files: a stream over either has all its rows."""
+    from piiscan.plans.queries import QUERIES
+
+    rows = [(k, "en", "src", f"row {k} SSN 078-05-1120" if k % 2 else "clean") for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string")
+    frame.repartition(4).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for form in ("parts", "file"):
+        got = QUERIES["stream_scan"](spark, str(tmp_path / form)).collect()
+        assert sorted((r["path"], r["n_matches"]) for r in got) == sorted((f"/src/en/doc_{k}.txt", k % 2) for k in range(40))
+        assert QUERIES["stream_scan_counts"](spark, str(tmp_path / form)).first()["scanned"] == 40
