@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from ..operators.classify import classify
 from ..operators.detect import explode_findings
 from ..operators.rollup import column_profile
+from ..session import local_rows
+
+#: Cells of a task. Reading a cell costs far more than moving it, so tasks are cut by number of cells, not by their bytes.
+CELLS_PER_TASK = 50_000
+MAX_TASKS = 8192
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -25,7 +30,10 @@ def cells(df: DataFrame, row_key: str, columns: list[str] | None = None) -> Data
 def profile_columns(df: DataFrame, row_key: str, columns: list[str] | None = None) -> DataFrame:
     """Share of rows of each string column that hold each real entity type."""
     columns = columns or [c for c in string_columns(df) if c != row_key]
-    found = explode_findings(classify(cells(df, row_key, columns)))
-    counted = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    totals = counted.select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"), "n_rows")
+    n_rows = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(cores, -(-n_rows * len(columns) // CELLS_PER_TASK)), MAX_TASKS)
+    dealt = df.select(row_key, *[c for c in columns if c != row_key]).repartition(tasks)
+    found = explode_findings(classify(cells(dealt, row_key, columns)))
+    totals = local_rows(df.sparkSession, [(c, n_rows) for c in columns], "column_name string,n_rows bigint")
     return column_profile(found, totals)

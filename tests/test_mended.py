@@ -180,3 +180,17 @@ def test_tables_in_folders_are_streamed_whole(spark, tmp_path):
         got = QUERIES["stream_scan"](spark, str(tmp_path / form)).collect()
         assert sorted((r["path"], r["n_matches"]) for r in got) == sorted((f"/src/en/doc_{k}.txt", k % 2) for k in range(40))
         assert QUERIES["stream_scan_counts"](spark, str(tmp_path / form)).first()["scanned"] == 40
+
+
+def test_cells_are_dealt_by_their_number(spark, monkeypatch):
+    """A column profile of rows that lie in one partition is read by as many tasks as its cells need."""
+    from piiscan.sources import columns
+
+    seen, real = [], columns.classify
+    monkeypatch.setattr(columns, "classify", lambda df: (seen.append(df.rdd.getNumPartitions()), real(df))[1])
+    monkeypatch.setattr(columns, "CELLS_PER_TASK", 50, raising=False)
+    rows = [(k, f"SSN 078-05-1120 row {k}" if k % 4 == 0 else "clean", "a.b@mail.com" if k % 2 else None) for k in range(400)]
+    frame = spark.createDataFrame(rows, "k int, a string, b string").coalesce(1)
+    got = sorted(map(tuple, columns.profile_columns(frame, "k").select("column_name", "entity_type", "rows_with_entity", "n_rows", "share").collect()))
+    assert seen == [16]
+    assert got == [("a", "ssn", 100, 400, 0.25), ("b", "email", 200, 400, 0.5)]
