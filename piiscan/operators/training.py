@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -214,11 +214,15 @@ def build_classifier(num_features: int = 1 << 16, max_iter: int = 50) -> Pipelin
 def train_classifier(examples: DataFrame, **options: int) -> tuple[PipelineModel, dict[str, float]]:
     """Fit on 90 % and report accuracy on the rest (seed 42; NaN where no row is left to test on).
 
-    Fitting passes over the examples several times, so they are kept (spilling to disk) meanwhile.
+    Fitting passes over the examples several times, so they and their word counts are kept (spilling to disk) meanwhile.
     """
     kept = examples.select("text", F.col("label").cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = kept.randomSplit([0.9, 0.1], 42)
-    model = build_classifier(**options).fit(train)
+    stages = build_classifier(**options).getStages()
+    first = next(i for i, stage in enumerate(stages) if isinstance(stage, Estimator))
+    counts = PipelineModel(stages[:first]).transform(train).select("label", "tf").persist(StorageLevel.MEMORY_AND_DISK)
+    model = PipelineModel([*stages[:first], *Pipeline(stages=stages[first:]).fit(counts).stages])
+    counts.unpersist()
     right = (F.col("prediction") == F.col("label")).cast("double")
     accuracy = model.transform(test).agg(F.avg(right)).first()[0]
     kept.unpersist()

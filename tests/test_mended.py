@@ -194,3 +194,32 @@ def test_cells_are_dealt_by_their_number(spark, monkeypatch):
     got = sorted(map(tuple, columns.profile_columns(frame, "k").select("column_name", "entity_type", "rows_with_entity", "n_rows", "share").collect()))
     assert seen == [16]
     assert got == [("a", "ssn", 100, 400, 0.25), ("b", "email", 200, 400, 0.5)]
+
+
+def test_training_reads_its_inputs_once_and_spread(spark, tmp_path, monkeypatch):
+    """The classifier's query scans the customer documents once, and seeds in one file are dealt to all cores."""
+    from piiscan.plans import queries as q
+
+    rows = [(k, f"Customer#{k:09d}", k % 25, float(k), "BUILDING") for k in range(240)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    scans, seeds, files, negatives = [], [], q.customer_files, q.tr.synthetic_false_positives
+    monkeypatch.setattr(q, "customer_files", lambda *a: (scans.append(1), files(*a))[1])
+    monkeypatch.setattr(q.tr, "synthetic_false_positives", lambda df, *a: (seeds.append(df.rdd.getNumPartitions()), negatives(df, *a))[1])
+    got = q.tpfp_filter(spark, str(tmp_path)).collect()
+    assert got and all(r["flags_only_added"] and r["versioned"] for r in got)
+    assert len(scans) == 1 and seeds == [spark.sparkContext.defaultParallelism]
+
+
+def test_model_equals_the_pipeline_fitted_as_a_whole(spark):
+    from piiscan.operators import training as tr
+
+    rows = [(f"call [PHONE] {'now' if k % 2 else 'example'} {k % 7}", k % 2) for k in range(120)]
+    examples = spark.createDataFrame(rows, "text string, label int").coalesce(1)
+    model, metrics = tr.train_classifier(examples, max_iter=5, num_features=256)
+    kept = examples.select("text", F.col("label").cast("double").alias("label")).persist()
+    whole = tr.build_classifier(max_iter=5, num_features=256).fit(kept.randomSplit([0.9, 0.1], 42)[0])
+    kept.unpersist()
+    assert [type(s) for s in model.stages] == [type(s) for s in whole.stages] and metrics["accuracy"] == 1.0
+    assert max(abs(model.stages[-1].coefficients.toArray() - whole.stages[-1].coefficients.toArray())) < 1e-6
