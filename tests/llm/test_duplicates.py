@@ -3,12 +3,14 @@
 import itertools
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from piiscan.llm import components, line_dedup, minhash
+from piiscan.llm import common, components, line_dedup, minhash
 
 from .conftest import prose
 
@@ -277,3 +279,20 @@ def test_lines_without_ascii_words(spark):
     rows = [(k, "\n".join((chinese, thai, german, "short line", "短句"))) for k in range(3)]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.kept_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == (rows[0][1], 0) and got[1] == got[2] == ("short line\n短句", 3)
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """What a staged table was shuffled with goes when it is written, and the table when it is no longer needed."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {str(p) for folder in manager.localDirsString() for p in Path(folder).glob("*/shuffle_*")}
+    before = held()
+    table = common.stage(spark.range(50_000).select(F.xxhash64("id").alias("k")).groupBy("k").count(), "staged")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and table.count() == 50_000
+    folder = Path(table.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    assert folder.is_dir()
+    common.unstage(table)
+    assert not folder.exists()
