@@ -296,3 +296,18 @@ def test_staged_tables_leave_no_shuffle_files(spark):
     assert folder.is_dir()
     common.unstage(table)
     assert not folder.exists()
+
+
+def test_many_pairs_are_verified_in_slices(spark, monkeypatch):
+    """Every pair is in one slice, and each slice's links are a table of their own."""
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40)], "a long, b long")
+    seen = []
+
+    def verify(some):
+        seen.append(some.count())
+        return some.filter("(a + b) % 3 = 0")
+
+    monkeypatch.setattr(components, "MANY_PAIRS", 100)
+    got = sorted(map(tuple, components.verified(pairs, verify).collect()))
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 3 == 0]
+    assert len(seen) == components.SLICES and sum(seen) == 780 and max(seen) < 500
