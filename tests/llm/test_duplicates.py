@@ -311,3 +311,21 @@ def test_many_pairs_are_verified_in_slices(spark, monkeypatch):
     got = sorted(map(tuple, components.verified(pairs, verify).collect()))
     assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 3 == 0]
     assert len(seen) == components.SLICES and sum(seen) == 780 and max(seen) < 500
+
+
+def test_keys_that_no_two_lines_share_are_not_written(spark, monkeypatch):
+    """A line has dozens of keys; staged tables hold rows of lines and of shared buckets only."""
+    r = random.Random(8)
+    lines = [varied_line(r, (5, 10, 20, 40)[k % 4]) for k in range(200)]
+    lines += [x + " again" for x in lines[2:20:4]]
+    docs = line_dedup.row_key(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    written = {}
+
+    def stage(df, what):
+        out = common.stage(df, what)
+        written[what] = max(written.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", stage)
+    assert {q["doc"]["doc_id"] for q in line_dedup.dropped_lines(docs).collect()} == set(range(200, 205))
+    assert written["lines"] == written["line-nodes"] == 205 and max(written.values()) < 4 * 205
