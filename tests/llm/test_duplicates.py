@@ -329,3 +329,22 @@ def test_keys_that_no_two_lines_share_are_not_written(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "stage", stage)
     assert {q["doc"]["doc_id"] for q in line_dedup.dropped_lines(docs).collect()} == set(range(200, 205))
     assert written["lines"] == written["line-nodes"] == 205 and max(written.values()) < 4 * 205
+
+
+def test_gram_bits_rule_out_unrelated_lines_only(spark):
+    """No pair within the limit of edits is ruled out, however the edits are spread; nearly all unrelated ones are."""
+    r, pairs = random.Random(9), []
+    for k in range(300):
+        line = varied_line(r, (5, 8, 11)[k % 3]) if k % 4 else "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(60))
+        x = list(line)
+        for _ in range(len(line) // 10 - 1):
+            i = r.randrange(len(x))
+            x[i : i + r.randrange(2)] = r.choice(["", "q", " "])
+        pairs.append((line, "".join(x), varied_line(r, len(line.split()) + 1)[: len(line)]))
+    frame = spark.createDataFrame(pairs, "a string, near string, far string")
+    bits = frame.select("*", *[line_dedup.gram_bits(F.col(c)).alias(f"{c}_bits") for c in ("a", "near", "far")])
+    test = lambda c: line_dedup.shares_grams(F.length("a"), F.col("a_bits"), F.length(c), F.col(f"{c}_bits"))
+    got = bits.select("a", "near", test("near").alias("kept"), test("far").alias("unrelated")).collect()
+    near = [10 * line_distance(q["a"], q["near"]) <= max(len(q["a"]), len(q["near"])) for q in got]
+    assert sum(near) > 200 and all(q["kept"] for q, n in zip(got, near) if n)
+    assert sum(q["unrelated"] for q in got) < 15
