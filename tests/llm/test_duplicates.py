@@ -348,3 +348,19 @@ def test_gram_bits_rule_out_unrelated_lines_only(spark):
     near = [10 * line_distance(q["a"], q["near"]) <= max(len(q["a"]), len(q["near"])) for q in got]
     assert sum(near) > 200 and all(q["kept"] for q, n in zip(got, near) if n)
     assert sum(q["unrelated"] for q in got) < 15
+
+
+def test_pairs_of_many_members_are_made_in_slices(spark, monkeypatch):
+    """A bucket is whole in one slice, so the slices' pairs are those of the whole table."""
+    members = spark.createDataFrame([(bucket, node) for bucket in range(60) for node in range(bucket, bucket + 4)], "bucket long, node long")
+    seen = []
+
+    def pairs_of(some):
+        seen.append(some.count())
+        other = some.withColumnRenamed("node", "b")
+        return some.join(other, "bucket").filter("node < b").select(F.col("node").alias("a"), "b").distinct()
+
+    monkeypatch.setattr(line_dedup, "MANY_MEMBERS", 100)
+    got = {tuple(x) for x in line_dedup.in_slices(members, pairs_of).collect()}
+    assert got == {(a, b) for a in range(63) for b in range(a + 1, min(a + 4, 63))}
+    assert len(seen) == components.SLICES and sum(seen) == 240 and max(seen) < 120
