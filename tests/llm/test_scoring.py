@@ -180,3 +180,82 @@ def test_a_part_takes_few_bytes_per_decision(spark):
     tracemalloc.stop()
     decisions = sum(len(d.bit) for _, d in found)
     assert decisions > 500_000 and held < 70 * decisions and most < 110 * decisions
+
+
+def test_words_are_predicted_from_the_words_before(spark):
+    """A held-out text of known neighbours scores better than the same words in another order."""
+    folds = {k: zlib.crc32(str(k).encode()) % lm.FOLDS for k in range(300)}
+    held = [k for k, f in folds.items() if f == lm.HELD_OUT]
+    words = prose(5, 40, 40).split()
+    known, shuffled = " ".join(words), " ".join(sorted(words))
+    rows = [(k, f"{prose(k, 60)} {known if k % 10 == 0 else ''}") for k, f in folds.items() if f != lm.HELD_OUT]
+    rows += [(held[0], known), (held[1], shuffled)]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["bits_per_byte"] < 0.5 * got[held[1]]["bits_per_byte"]
+
+
+def test_white_space_is_coded_as_it_stands(spark):
+    classes = np.zeros((lm.PAIRS, lm.CLASSES), np.float32)
+    text = "\tOne  two\n\nthree\r\n four "
+    assert "".join(lm.text_pieces(lm.lowered(text))) == text.lower()
+    assert [u[1:-1] for u in lm.text_units(text, classes)] == ["\tone  ", "two\n\n", "three\r\n ", "four ", ""]
+    plain, wide = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % lm.FOLDS == lm.HELD_OUT][:2]
+    rows = [(k, prose(k, 60)) for k in range(200)] + [(plain, "amber birch cedar"), (wide, "amber\t\t birch\x0b\ncedar")]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[plain]["n_tokens"] == got[wide]["n_tokens"] == 4 and got[plain]["base_score"] == pytest.approx(got[wide]["base_score"])
+    assert got[wide]["n_bytes"] == got[plain]["n_bytes"] + 3 and got[wide]["score"] < got[plain]["score"] - 2
+
+
+def test_open_white_space_has_bytes_of_its_own():
+    data, offsets, ended = lm.unit_bytes(pa.array(["a \tone  C", "bE", "btwo\nC"]))
+    assert data.tobytes() == b"a\xfd\xf8one\xfd Cb\xffbtwo\nC" and offsets.tolist() == [0, 9, 11, 17] and ended.tolist() == [False, True, False]
+
+
+def test_neighbours_are_counted_over_all_blocks(spark, monkeypatch):
+    """Counts of pairs and triples in training texts reach every block, by the words before whatever their white space."""
+    texts = [prose(k % 40, 30, 5 + k % 3) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    classes = spark.sparkContext.broadcast(np.zeros((lm.PAIRS, lm.CLASSES), np.float32))
+    blocks = lm.list_blocks(docs, classes).cache()
+    answers = {}
+    for r in lm.answer_grams(lm.ask_grams(blocks, 3)).orderBy("block", "shard").collect():
+        answers.setdefault(r["block"], []).append(np.frombuffer(zlib.decompress(r["blob"]), "<u4"))
+    assert len(answers) == 4 and all(len(a) == 8 for a in answers.values())
+    pairs, triples = Counter(), Counter()
+    keys = {}
+    for k, t in enumerate(texts):
+        pieces = [*lm.text_pieces(t), ""]
+        two = list(zip([None, *(p.strip() for p in pieces)], pieces))
+        keys[k] = (two, list(zip([None, *two], pieces)))
+        if zlib.crc32(str(k).encode()) % lm.FOLDS != lm.HELD_OUT:
+            pairs.update(keys[k][0])
+            triples.update(keys[k][1])
+    found = []
+    for r in blocks.filter("kind = 1").collect():
+        (ids, _, _, sizes, _, _), _, order, begin = lm.block_grams(r["docs"])
+        seen = np.empty(len(order), int)
+        seen[order] = np.repeat(np.concatenate(answers[r["block"]]), np.diff(begin, append=len(order)))
+        for doc, of_pairs, of_triples in zip(ids.tolist(), *(np.split(x, np.cumsum(sizes)[:-1]) for x in seen.reshape(2, -1))):
+            assert of_pairs.tolist() == [pairs[x] for x in keys[doc][0]] and of_triples.tolist() == [triples[x] for x in keys[doc][1]]
+            found.append(doc)
+    assert sorted(found) == list(range(120))
+
+
+def test_predictions_of_all_units_add_up_to_one():
+    """Behind any two units, what was seen there and what was not share all probability of the spelling."""
+    r = np.random.default_rng(6)
+    spelled = r.dirichlet(np.ones(50))
+    seen = np.stack([r.integers(0, 3, 50), np.zeros(50, int)]).astype(float)
+    seen[1] = np.minimum(seen[0], r.integers(0, 2, 50))
+    words, pairs = np.full(50, seen[0].sum()), np.full(50, seen[1].sum())
+    for q in lm.predictions(np.log10(spelled), seen, words, pairs):
+        assert abs((10**q).sum() - 1) < 1e-9
+    far = next(iter(lm.predictions(np.array([-5000.0]), np.zeros((2, 1)), np.array([3.0]), np.array([0.0]))))
+    assert far[0] == pytest.approx(-5000 + math.log10(1 / 4))
+
+
+def test_gram_blobs():
+    grams = np.array([0, 5, 1 << 40, (1 << 56) - 1])
+    got, counts = lm.unpack_grams(lm.pack_grams(grams, np.array([1, 0, 70_000, 3])))
+    assert got.tolist() == grams.tolist() and counts.tolist() == [1, 0, 70_000, 3]
