@@ -70,8 +70,14 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     return h.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
+def rule_value(name: str) -> Column:
+    """A rule's ratio; null where there is nothing to divide by, also where dividing by 0 is an error (ANSI mode)."""
+    above, below = RULES[name].split(" div ")
+    return F.expr(f"cast({above} div nullif({below}, 0) as bigint)")
+
+
 def rule_values() -> Column:
-    return F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(f"cast({value} as bigint)").alias("value")) for name, value in RULES.items()])
+    return F.array(*[F.struct(F.lit(name).alias("rule"), rule_value(name).alias("value")) for name in RULES])
 
 
 def allowed(n: str, rate: float, log_level: float) -> str:
@@ -115,7 +121,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """measured with the rules each document breaks and kept."""
     wide = limits.groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cutoff"))
     wide = wide.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    broken = F.concat_ws(",", *[F.when(F.expr(f"cast({value} as bigint)") >= F.col(f"cut_{name}"), F.lit(name)) for name, value in RULES.items()])
+    broken = F.concat_ws(",", *[F.when(rule_value(name) >= F.col(f"cut_{name}"), F.lit(name)) for name in RULES])
     return (
         measured.join(small_side(stage(wide, "quality-cutoffs")), "stratum", "left")
         .withColumn("broken", broken)

@@ -61,6 +61,15 @@ def test_cutoffs_reject_bad_and_spare_strata_without_labels(spark):
     assert all(got[10_000 + k]["kept"] for k in range(20))  # nothing is known of their stratum
 
 
+def test_texts_without_words_beside_cutoffs(spark):
+    """A text without words has no ratios, also in a stratum whose rules have cutoffs; dividing by 0 is no error."""
+    docs, labels = labelled(spark, 300, 40)
+    empty = spark.createDataFrame([(20_000 + k, t, "en") for k, t in enumerate(["", " \n\t", None])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.assess(docs.union(empty), labels).collect()}
+    assert all(got[20_000 + k]["base_failed"] and not got[20_000 + k]["kept"] and got[20_000 + k]["broken"] == "" for k in range(3))
+    assert not any(got[300 + k]["kept"] for k in range(40)) and len(quality.filter_documents(docs.union(empty), labels).collect()) == 320
+
+
 def test_too_few_labels_reject_nothing(spark):
     docs, labels = labelled(spark, 20, 40)
     assert all(r["kept"] for r in quality.assess(docs, labels).collect())
