@@ -9,8 +9,9 @@ the others, strongest first, are probed for those vectors that stay competitive,
 remaining bounds reach the threshold. What is left has its exact score. Vectors equal to the threshold go on, so ties are
 settled by id. A threshold begins with the exact scores of the vectors at the head of the query's strongest postings.
 
-Candidates are cut into shards of ``SHARD_ROWS`` rows, queries into blocks of ``QUERY_ROWS``; every block meets every shard once, and a
-shard's best k of each query are merged by rank. Nothing is broadcast, and a task holds one shard's index and one block.
+Candidates are cut into shards of ``SHARD_ROWS`` rows, queries into blocks of ``QUERY_ROWS``; every block meets every shard once, and the best k of
+each query in a group's shards are merged by rank. Groups have at most ``HELD_SHARDS`` shards; each block is moved once to every group, shards are moved once.
+No vector is broadcast, and a task holds one group's indexes and one block.
 
 A component x counts as floor(scale * x), x as double, at most ``REACH`` either way. Vectors that are null or hold a null or
 non-finite component take no part. A shorter vector counts as filled up with zeros. Repeated rows and ids are rows of their own (a
@@ -37,8 +38,8 @@ SHARD_ROWS, QUERY_ROWS = 4096, 512
 SEED_TERMS, SEED_ROWS = 6, 32
 #: Terms probed before the competitive vectors are counted again.
 PROBE = 8
-#: Indexes a worker keeps at once; the shards of a group take turns.
-HELD_SHARDS = 4
+#: Shards in a group, whose indexes a worker keeps at once (about 6 MB each with 64 components).
+HELD_SHARDS = 24
 
 
 def pack_rows(points: DataFrame, rows: int, scale: int) -> DataFrame:
@@ -80,7 +81,9 @@ class Shard:
     def __init__(self, keys: list[int], ids: list[int | None], values: np.ndarray):
         # ids stand in order, so that of equal scores the first is the one wanted
         order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0)), np.int64)
-        self.keys, self.ids = np.array(keys, np.int64)[order], [ids[i] for i in order]
+        self.keys = np.array(keys, np.int64)[order]
+        self.known = np.array([ids[i] is not None for i in order], bool)
+        self.ids = np.array([ids[i] or 0 for i in order], np.int64)
         self.vectors = values[order].astype(np.int64)
         both = np.stack([self.vectors.T, -self.vectors.T])  # by sign, component, vector
         self.top = np.maximum(both.max(axis=2, initial=0), 0)
@@ -94,8 +97,8 @@ class Shard:
             self.kinds[kind] = (np.ascontiguousarray(self.vectors.T.astype(kind)), self.vectors.astype(kind))
         return self.kinds[kind]
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best vectors but the one with key own, in order."""
+    def search(self, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best vectors but the one with key own, in order; of those that reach least, if it is given."""
         q = query[: self.vectors.shape[1]]
         held = np.flatnonzero(q)
         sign = (q[held] < 0).astype(np.int64)
@@ -109,9 +112,9 @@ class Shard:
 
         seeds = np.unique(self.heads[sign[:SEED_TERMS], held[:SEED_TERMS]])
         seeds = seeds[self.keys[seeds] != own]
-        threshold = -np.inf
+        threshold = -np.inf if least is None else least
         if len(seeds) >= k:
-            threshold = np.partition(vectors[seeds, : len(q)] @ weight, len(seeds) - k)[len(seeds) - k]
+            threshold = max(threshold, np.partition(vectors[seeds, : len(q)] @ weight, len(seeds) - k)[len(seeds) - k])
         # rest: what a term and all weaker ones can add; essential are the terms before it falls below the threshold
         rest = np.append(np.cumsum(bounds[::-1])[::-1], 0)
         split = int(np.argmax(rest < threshold)) if threshold > 0 else len(held)
@@ -133,31 +136,57 @@ class Shard:
         return found[best], partial[best].astype(np.int64)
 
 
-def search_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """query (key of its row), query_id, vec_id, score: the k best of each query in each shard it meets."""
+def deal(shards: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
+    """part, kind, dim, keys, ids, data by group: each shard (kind 0) in one group, then each block of queries (kind 1) in every one."""
+    columns = ["dim", "keys", "ids", "data", "part"]
+    # parts are numbered by the task that wrote them, so they are numbered anew to fill groups evenly
+    place = F.row_number().over(Window.orderBy("part")) - 1
+    numbers = shards.select("part").withColumn("group", (place % groups).cast("int"))  # one row a shard, no vectors
+    grouped = shards.join(F.broadcast(numbers), "part").select("group", F.lit(0).alias("kind"), *columns)
+    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), *columns)
+    rows = grouped.unionByName(dealt)
+    return rows.repartitionByRange(groups, "group").sortWithinPartitions("group", "kind", "part")
+
+
+def search_groups(rows: DataFrame, k: int) -> DataFrame:
+    """query (key of its row), query_id, vec_id, score: the k best of each query in each group of shards, from groups' shards, then blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes: dict[int, Shard] = {}
+        now, indexes = None, []
         for batch in batches:
             for row in range(batch.num_rows):
                 r = {c: batch.column(c)[row] for c in batch.schema.names}
-                part = r["part"].as_py()
-                if part not in indexes:
-                    if len(indexes) == HELD_SHARDS:
-                        indexes.clear()
-                    indexes[part] = Shard(r["keys"].as_py(), r["ids"].as_py(), np.frombuffer(r["data"].as_py(), "<i4").reshape(len(r["keys"]), r["dim"].as_py()))
-                shard = indexes[part]
-                keys, ids = r["q_keys"].as_py(), r["q_ids"].as_py()
-                queries = np.frombuffer(r["q_data"].as_py(), "<i4").reshape(len(keys), r["q_dim"].as_py()).astype(np.int64)
-                out = [shard.search(q, key, k) for q, key in zip(queries, keys)]
-                many = [len(places) for places, _ in out]
+                if r["group"].as_py() != now:
+                    now, indexes = r["group"].as_py(), []
+                keys, ids = r["keys"].as_py(), r["ids"].as_py()
+                values = np.frombuffer(r["data"].as_py(), "<i4").reshape(len(keys), r["dim"].as_py())
+                if r["kind"].as_py() == 0:
+                    indexes.append(Shard(keys, ids, values))
+                    continue
+                out = [best_of(indexes, q, key, k) for q, key in zip(values.astype(np.int64), keys)]
+                many = [len(scores) for _, _, scores in out]
+                known, vec_ids, scores = (np.concatenate(c) for c in zip(*out))
                 yield pa.record_batch(
-                    [pa.array(np.repeat(np.array(keys, np.int64), many)), pa.array(np.repeat(np.array(ids, np.int64), many)),
-                     pa.array([shard.ids[p] for places, _ in out for p in places], pa.int64()), pa.array(np.concatenate([s for _, s in out]))],
+                    [pa.array(np.repeat(np.array(keys, np.int64), many)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(vec_ids, mask=~known), pa.array(scores)],
                     names=["query", "query_id", "vec_id", "score"],
-                )
+                )
+
+    return rows.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+
+
+def best_of(indexes: list[Shard], query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known ids or not, ids and scores of the k best vectors of all shards but the one with key own; of equal scores null ids come first, then smaller ones.
 
-    return pairs.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    The k-th best score so far is where the next shard's threshold begins.
+    """
+    known, ids, scores = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for shard in indexes:
+        places, more = shard.search(query, own, k, int(scores[-1]) if len(scores) >= k else None)
+        if len(places):
+            known, ids, scores = np.append(known, shard.known[places]), np.append(ids, shard.ids[places]), np.append(scores, more)
+            best = np.lexsort((ids, known, -scores))[:k]
+            known, ids, scores = known[best], ids[best], scores[best]
+    return known, ids, scores
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE,
@@ -167,11 +196,10 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     points = stage(usable(vectors, id_col, vector_col).withColumn("key", F.monotonically_increasing_id()), "vectors")
     shards = stage(pack_rows(points, shard_rows, scale), "shards")
     blocks = stage(pack_rows(points.filter(F.col("id").isNotNull() & is_query), query_rows, scale), "query-blocks")
-    # as many groups of shards as shards; each block is dealt to every group and meets each shard of it
-    groups = max(shards.count(), 1)
-    dealt = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "keys", "ids", "data")]).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    grouped = shards.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int"))
-    best = search_pairs(dealt.join(grouped, "group").drop("group"), k)
+    # as few groups as keep all cores busy and their indexes in memory: blocks are moved to every group
+    n = shards.count()
+    groups = max(-(-n // HELD_SHARDS), min(n, 2 * vectors.sparkSession.sparkContext.defaultParallelism), 1)
+    best = search_groups(deal(shards, blocks, groups), k)
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_first("vec_id"))
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -109,3 +110,32 @@ def test_maxscore_skips_weak_vectors():
         places, scores = shard.search(q, -1, 5)
         want = np.lexsort((np.arange(500), -(values @ q)))[:5]
         assert places.tolist() == want.tolist() and scores.tolist() == (values @ q)[want].tolist()
+
+
+def test_blocks_are_moved_to_groups_not_broadcast(spark, monkeypatch):
+    """Queries times shards of vectors never pass through the driver: each block is shuffled to a few groups, each shard to one."""
+    r = np.random.default_rng(8)
+    rows = [(k, r.normal(0, 1, 8).tolist()) for k in range(600)]
+    monkeypatch.setattr(topk, "HELD_SHARDS", 2)
+    taken = []
+    monkeypatch.setattr(topk, "search_groups", lambda dealt, k, real=topk.search_groups: taken.append(dealt) or real(dealt, k))
+    got = topk.search(frame(spark, rows), F.col("id") % 20 == 0, k=7, shard_rows=10, query_rows=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "explode" not in "".join(x for x in plan.split("\n") if "Broadcast" in x)
+    dealt = taken[0].select("group", "kind", "part", F.spark_partition_id().alias("task")).collect()
+    shards, blocks = [x for x in dealt if x["kind"] == 0], [x for x in dealt if x["kind"] == 1]
+    groups = {x["group"] for x in dealt}
+    assert len(shards) == len({x["part"] for x in shards}) >= 60 and len({x["part"] for x in blocks}) >= 8
+    assert len(groups) == -(-len(shards) // 2) and len(blocks) == len(groups) * len({x["part"] for x in blocks})
+    assert max(Counter(x["group"] for x in shards).values()) <= 2
+    assert sorted([tuple(x) for x in got.collect()], key=str) == by_all_products(rows, 7, topk.SCALE)
+
+
+def test_threshold_passes_from_shard_to_shard():
+    """A shard's search returns all that reach the score given, ties included, and the merged best are those of all shards."""
+    values = np.array([[3], [5], [5], [2], [5], [4]])
+    shards = [topk.Shard([0, 1, 2], [7, None, 9], values[:3]), topk.Shard([3, 4, 5], [1, 2, 3], values[3:])]
+    places, scores = shards[1].search(np.array([1]), -1, 2, 5)
+    assert shards[1].ids[places].tolist() == [2] and scores.tolist() == [5]
+    known, ids, scores = topk.best_of(shards, np.array([1]), -1, 3)
+    assert known.tolist() == [False, True, True] and ids.tolist() == [0, 2, 9] and scores.tolist() == [5, 5, 5]
