@@ -162,6 +162,22 @@ def test_segments_see_findings_over_many_pieces(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, one))
 
 
+def test_short_segments_are_scanned_together(spark):
+    """Runs of segments are stretches of the whole text, each character of which is read about once."""
+    texts = [f"row {k} 078-05-1120 call 212-555-{k:04d}" if k % 3 else "x" * (k * 37 % 300) for k in range(900)]
+    whole = "\n".join(texts)
+    pieces = spark.createDataFrame([(d, k, t) for d in ("d", None) for k, t in enumerate([*texts, None])], "doc string, k int, piece string")
+    parts = assemble.segments(pieces, ["doc"], ["k"], chars=100, overlap=1024)
+    assert sum(len(r["text"]) for r in parts.filter("doc = 'd'").collect()) > 5 * len(whole)
+    for chars in (1, 5000, 10**9):
+        runs = assemble.runs_of_segments(parts, ["doc"], chars).collect()
+        assert {r["doc"] for r in runs} == {"d", None} and all(whole[r["base_offset"] :].startswith(r["text"]) for r in runs)
+        ends = sorted((r["base_offset"], r["base_offset"] + len(r["text"])) for r in runs if r["doc"])
+        assert ends[0][0] == 0 and ends[-1][1] == len(whole) and all(a[1] >= b[0] for a, b in zip(ends, ends[1:]))
+        if chars > 1:
+            assert sum(b - a for a, b in ends) <= len(whole) + 1500 * len(ends)
+
+
 def test_rules_have_linear_patterns():
     assert EMAIL.scan and all(p.scan is None for p in DEFAULT_PATTERNS if p is not EMAIL)
 
