@@ -364,3 +364,41 @@ def test_pairs_of_many_members_are_made_in_slices(spark, monkeypatch):
     got = {tuple(x) for x in line_dedup.in_slices(members, pairs_of).collect()}
     assert got == {(a, b) for a in range(63) for b in range(a + 1, min(a + 4, 63))}
     assert len(seen) == components.SLICES and sum(seen) == 240 and max(seen) < 120
+
+
+def test_unrelated_pairs_go_before_texts_are_moved(spark, monkeypatch):
+    """Pairs that n-grams rule out reach no edit test, and only texts of pairs left are joined; links are those of the edit test alone."""
+    r = random.Random(10)
+    lines = [varied_line(r, 8) for _ in range(30)] + [varied_line(r, 30) for _ in range(10)]
+    lines += [x[:-1] + "q" for x in lines]
+    nodes = spark.createDataFrame(list(enumerate(lines)), "node long, plain string").withColumn("size", F.length("plain"))
+    signs = nodes.filter("node % 40 < 30").select("node", "size", line_dedup.gram_bits(F.col("plain")).alias("bits"))
+    all_pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    left = line_dedup.told_apart(all_pairs, signs)
+    kept = {tuple(x) for x in left.collect()}
+    assert {(k, k + 40) for k in range(20)} <= kept
+    with_bits = [k for k in range(60) if k % 40 < 30]
+    assert sum(a in with_bits and b in with_bits for a, b in kept) < 60
+    assert all((a, b) in kept for a in range(60) for b in range(a + 1, 60) if a not in with_bits or b not in with_bits)
+    written = {}
+
+    def stage(df, what):
+        written[what] = common.stage(df, what)
+        return written[what]
+
+    monkeypatch.setattr(line_dedup, "stage", stage)
+    few = left.filter("a < 20 AND b = a + 40")
+    assert sorted(map(tuple, line_dedup.verify(few, nodes.select("node", "plain")).collect())) == [(k, k + 40) for k in range(20)]
+    assert {x["node"] for x in written["line-ids"].collect()} == {*range(20), *range(40, 60)}
+
+
+def test_mixed_buckets_in_slices(spark, monkeypatch):
+    """A bucket is whole in one slice, so mixed buckets and their commonest label are those of the whole table."""
+    members = spark.createDataFrame([(b, n, b) for b in range(50) for n in range(b, b + 5)], "bucket long, node long, centre long")
+    labels = spark.createDataFrame([(n, n // 4) for n in range(0, 54, 1) if n % 9], "node long, label long")
+    one = sorted(map(tuple, components.mixed_buckets(members, labels).select("bucket", "node", "label", "common").collect()))
+    seen = []
+    monkeypatch.setattr(components, "stage", lambda df, what: seen.append(common.stage(df, what)) or seen[-1])
+    monkeypatch.setattr(components, "MANY_MEMBERS", 100)
+    assert sorted(map(tuple, components.mixed_buckets(members, labels).select("bucket", "node", "label", "common").collect())) == one
+    assert len(seen) == components.SLICES and len(one) > 100 and max(x.count() for x in seen) < 0.6 * len(one)
