@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
@@ -211,6 +211,14 @@ def build_classifier(num_features: int = 1 << 16, max_iter: int = 50) -> Pipelin
     return Pipeline(stages=stages)
 
 
+def _without_summary(stage):
+    """The fitted stage without its training summary. That holds the session, which can't be sent to tasks with the model once
+    anything in the session has observed a query."""
+    if isinstance(stage, LogisticRegressionModel) and stage.hasSummary:
+        stage._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.apply(None))
+    return stage
+
+
 def train_classifier(examples: DataFrame, **options: int) -> tuple[PipelineModel, dict[str, float]]:
     """Fit on 90 % and report accuracy on the rest (seed 42; NaN where no row is left to test on).
 
@@ -221,7 +229,7 @@ def train_classifier(examples: DataFrame, **options: int) -> tuple[PipelineModel
     stages = build_classifier(**options).getStages()
     first = next(i for i, stage in enumerate(stages) if isinstance(stage, Estimator))
     counts = PipelineModel(stages[:first]).transform(train).select("label", "tf").persist(StorageLevel.MEMORY_AND_DISK)
-    model = PipelineModel([*stages[:first], *Pipeline(stages=stages[first:]).fit(counts).stages])
+    model = PipelineModel([*stages[:first], *map(_without_summary, Pipeline(stages=stages[first:]).fit(counts).stages)])
     counts.unpersist()
     right = (F.col("prediction") == F.col("label")).cast("double")
     accuracy = model.transform(test).agg(F.avg(right)).first()[0]

@@ -239,3 +239,18 @@ def test_model_equals_the_pipeline_fitted_as_a_whole(spark):
     kept.unpersist()
     assert [type(s) for s in model.stages] == [type(s) for s in whole.stages] and metrics["accuracy"] == 1.0
     assert max(abs(model.stages[-1].coefficients.toArray() - whole.stages[-1].coefficients.toArray())) < 1e-6
+
+
+def test_training_after_an_observed_query(spark):
+    """A model can be sent to tasks in a session that has observed a query (the store does), which its training summary can't."""
+    from pyspark.sql import Observation
+
+    from piiscan.operators import training as tr
+
+    counted = Observation()
+    spark.range(5).observe(counted, F.count(F.lit(1)).alias("n")).collect()
+    assert counted.get["n"] == 5
+    examples = spark.createDataFrame([(f"call [PHONE] {'now' if k % 2 else 'example'} {k % 7}", k % 2) for k in range(120)], "text string, label int")
+    model, metrics = tr.train_classifier(examples, max_iter=5, num_features=256)
+    assert metrics["accuracy"] == 1.0 and not model.stages[-1].hasSummary
+    assert tr.predict(model, examples.select("text")).filter("is_true_positive").count() == 60
